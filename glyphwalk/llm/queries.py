@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphwalk.llm import mixing
+from glyphwalk.llm import audio, chat_format, mixing, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +50,61 @@ FROM (SELECT p.doc_id, p.size, p.before, t.source_size, t.target,
 """
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = r"""
+WITH r AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE
+                    regexp_replace(substr(url, strpos(url, '://') + 3), '(?s)[?#].*$', '') END AS rest FROM pages),
+p AS (SELECT page_id,
+             translate(CASE WHEN strpos(rest, '/') = 0 THEN rest ELSE substr(rest, 1, strpos(rest, '/') - 1) END,
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             CASE WHEN strpos(rest, '/') = 0 THEN '' ELSE substr(rest, strpos(rest, '/')) END AS path FROM r),
+j AS (SELECT page_id, host, path, '.' || host AS h,
+             CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                  WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                  WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                  WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN host LIKE '%casino%' OR path LIKE '/%.exe' OR path LIKE '/%.zip' THEN 'block' ELSE 'allow' END AS verdict
+FROM j
+"""
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.collapse(table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, count(*)::BIGINT AS n,
+             list({'r': role, 't': text} ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS l,
+             string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+                        ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS s
+      FROM t GROUP BY conv_id),
+h AS (SELECT a.conv_id, a.n, a.s, b.conv_id AS kept_id,
+             row_number() OVER (PARTITION BY a.conv_id ORDER BY b.n DESC, b.conv_id) AS k
+      FROM c a JOIN c b ON b.l[1] = a.l[1] AND b.n >= a.n AND list_slice(b.l, 1, a.n) = a.l)
+SELECT conv_id, 0::BIGINT AS part, n AS n_turns, conv_id = kept_id AS kept, kept_id,
+       CASE WHEN conv_id = kept_id THEN s END AS rendered
+FROM h WHERE k = 1
+"""
+
+
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op7_mixing": op7_mixing}
+    return {
+        "op2_url_filter": op2_url_filter,
+        "op3_chat_format": op3_chat_format,
+        "op6_audio": op6_audio,
+        "op7_mixing": op7_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_mixing": OP7_SQL}
