@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphwalk.llm import audio, chat_format, mixing, url_filter
+from glyphwalk.llm import audio, chat_format, lm_scoring, mixing, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,12 +98,24 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.resample(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("__weight").alias("log_weight"), F.col("__key").alias("key"), F.col("__kept").alias("kept"))
+
+
 def queries() -> dict:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_url_filter": op2_url_filter,
         "op3_chat_format": op3_chat_format,
         "op6_audio": op6_audio,
         "op7_mixing": op7_mixing,
+        "op10_quality": op10_quality,
     }
 
 
