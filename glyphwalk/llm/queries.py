@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphwalk.llm import audio, chat_format, lm_scoring, mixing, quality, url_filter
+from glyphwalk.llm import audio, chat_format, chosen_path, lm_scoring, mixing, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.resample(docs, table(spark, sf_dir, "labels"))
@@ -115,6 +119,7 @@ def queries() -> dict:
         "op3_chat_format": op3_chat_format,
         "op6_audio": op6_audio,
         "op7_mixing": op7_mixing,
+        "op9_chosen_path": op9_chosen_path,
         "op10_quality": op10_quality,
     }
 
