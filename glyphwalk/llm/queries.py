@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphwalk.llm import audio, chat_format, chosen_path, lm_scoring, mixing, quality, url_filter
+from glyphwalk.llm import audio, chat_format, chosen_path, lm_scoring, mixing, quality, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,10 @@ FROM h WHERE k = 1
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digest(table(spark, sf_dir, "documents"))
 
@@ -117,6 +121,7 @@ def queries() -> dict:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_url_filter": op2_url_filter,
         "op3_chat_format": op3_chat_format,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_audio": op6_audio,
         "op7_mixing": op7_mixing,
         "op9_chosen_path": op9_chosen_path,
