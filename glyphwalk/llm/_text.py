@@ -85,6 +85,16 @@ def words_of(texts: list, lower: bool = True) -> tuple[np.ndarray, np.ndarray, n
     return hashes, starts, ends, np.searchsorted(starts, offsets), offsets
 
 
+def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in lower case and the first word of each text (one more at the end), a megabyte at a time."""
+    found, counts = [np.zeros(0, U)], [0]
+    for piece in batches([len(t or "") for t in texts], 1 << 20):
+        hashes, _, _, first, _ = words_of(texts[piece])
+        found.append(hashes)
+        counts += np.diff(first).tolist()
+    return np.concatenate(found), np.cumsum(counts)
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k words in a row, by the index of the first; len(words) - k + 1 of them."""
     n = len(words) - k + 1

@@ -9,7 +9,7 @@ knows is uniform over the rest of the alphabet. Every distribution sums to one.
 Texts are lower-cased (A-Z), begin after ``ORDER`` start marks and end with an end mark. 0xFE and
 0xFF are no UTF-8 bytes and serve as marks.
 
-Distribution: texts are packed into blocks of about 16 MB that are written once. A block lists the
+Distribution: texts are packed into blocks of about 12 MB that are written once. A block lists the
 distinct (ORDER + 1)-grams and word hashes it needs, with its training counts. Counts are summed
 over blocks by key. The trie is evaluated where its parts meet: all contexts that share their last
 two bytes are one group, for which only the orders 0 and 1 are needed from outside (65,536 counts
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphwalk.llm._text import LOWER, U, words_of
+from glyphwalk.llm._text import LOWER, batches, word_hashes
 from glyphwalk.plans.cut import cut
 
 ORDER = 5
 START, END, ALPHABET = 0xFE, 0xFF, 255
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 GRAM, WORD, PAYLOAD = 0, 1, 2
 
 
@@ -151,11 +151,13 @@ def _block(ids: pa.Array, texts: list) -> Iterator[pa.RecordBatch]:
     data, offsets = symbols_of(texts)
     at, grams = gram_ids(data)
     good = data[ORDER:] != START
-    used = np.bincount(at[good], minlength=len(grams)) > 0
-    counts = np.bincount(at[good & _spans(offsets, len(data), train)[ORDER:]], minlength=len(grams))
+    used = np.zeros(len(grams), bool)
+    used[at[good]] = True
+    good &= _spans(offsets, len(data), train)[ORDER:]
+    counts = np.bincount(at[good], minlength=len(grams))
     del at, good, data
     yield from rows(GRAM, grams[used], counts[used])
-    hashes, _, _, first, _ = words_of(texts)
+    hashes, first = word_hashes(texts)
     keys, where = np.unique(hashes, return_inverse=True)
     counts = np.bincount(where, weights=np.repeat(train, np.diff(first)), minlength=len(keys))
     yield from rows(WORD, keys.view(np.int64), counts)
@@ -244,7 +246,7 @@ def evaluate(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = OR
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
     kind = dict(docs.dtypes)[id_col]
-    blocks = cut(blocks_of(docs, id_col, text_col, block_bytes), ["kind"])
+    blocks = cut(blocks_of(docs, id_col, text_col, block_bytes))
     needs = blocks.where(F.col("kind") != PAYLOAD).select("block", "kind", "key", "n")
     grams = needs.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n"))
     words = needs.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n"))
@@ -278,11 +280,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cost = np.zeros(len(grams))
         cost[np.searchsorted(grams, known)] = v
         # One sum per text: the gram at symbol i predicts symbol i + ORDER of the same text.
-        each = np.where(data[ORDER:] != START, cost[at], 0.0) if len(at) else np.zeros(0)
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))[ORDER:]
-        total = np.bincount(owner, weights=each, minlength=len(texts))
-        del at, each, owner, data
-        hashes, _, _, first, _ = words_of(texts)
+        total = np.zeros(len(texts))
+        for piece in batches(np.diff(offsets).tolist(), 1 << 20):
+            a, b = int(offsets[piece.start]), int(offsets[piece.stop]) - ORDER
+            each = np.where(data[a + ORDER : b + ORDER] != START, cost[at[a:b]], 0.0)
+            owner = np.repeat(np.arange(piece.start, piece.stop), np.diff(offsets[piece.start : piece.stop + 1]))[ORDER:]
+            total += np.bincount(owner, weights=each, minlength=len(texts))
+        del at, data
+        hashes, first = word_hashes(texts)
         by = np.argsort(keys[which == WORD].view(np.uint64))
         known, v = keys[which == WORD].view(np.uint64)[by], value[which == WORD][by]
         c = v[np.searchsorted(known, hashes)] if len(hashes) else np.zeros(0)

@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Kept bytes are decoded as UTF-8; a character that is cut in two is replaced in ``kept``.
     """
     kind = dict(docs.dtypes)[id_col]
-    blocks = cut(_blocks(docs.select(F.col(id_col), F.col(text_col)), block_bytes), ["kind"])
+    blocks = cut(_blocks(docs.select(F.col(id_col), F.col(text_col)), block_bytes))
     payload = blocks.where("kind = 1").select(F.col("block").alias("home"), "payload")
     seen = blocks.where("kind = 0").select("block", "gram", "context", "n")
     each = seen.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("block").alias("first"))
