@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphwalk.llm import audio, chat_format, chosen_path, lm_scoring, mixing, quality, suffix_dedup, url_filter
+from glyphwalk.llm import audio, chat_format, chosen_path, decontaminate, lm_scoring, mixing, quality, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,29 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-]+'), lambda w: w <> '') AS words FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-]+'), lambda w: w <> '') AS item FROM benchmark),
+bi AS (SELECT item_id, item, len(item) AS n FROM b WHERE len(item) > 4),
+ds AS (SELECT doc_id, len(words) AS total, unnest(range(0, len(words) - 4)) AS pos, words FROM d WHERE len(words) > 4),
+dh AS (SELECT doc_id, total, pos, array_to_string(words[pos + 1:pos + 5], ' ') AS s FROM ds),
+bs AS (SELECT item_id, n, unnest(range(0, n - 4)) AS q, item FROM bi),
+bh AS (SELECT item_id, n, q, array_to_string(item[q + 1:q + 5], ' ') AS s FROM bs),
+w AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(pos - q, total - n)) AS start FROM dh JOIN bh USING (s)),
+x AS (SELECT w.doc_id, w.item_id, w.n, w.start, dh.s, count(*) AS a FROM w JOIN dh ON dh.doc_id = w.doc_id AND dh.pos BETWEEN w.start AND w.start + w.n - 5 GROUP BY ALL),
+y AS (SELECT w.doc_id, w.item_id, w.n, w.start, bh.s, count(*) AS b FROM w JOIN bh ON bh.item_id = w.item_id GROUP BY ALL),
+z AS (SELECT doc_id, item_id, n, start, sum(least(coalesce(a, 0), coalesce(b, 0))) AS shared, sum(greatest(coalesce(a, 0), coalesce(b, 0))) AS united
+      FROM x FULL JOIN y USING (doc_id, item_id, n, start, s) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared::DOUBLE / united DESC, start) AS k FROM z WHERE shared >= 0.8 * united)
+SELECT doc_id, item_id, start::BIGINT AS start_word, n::BIGINT AS n_words, round(shared::DOUBLE / united, 6) AS similarity FROM r WHERE k = 1
+"""
+
+
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.components(table(spark, sf_dir, "documents"))
 
@@ -124,10 +147,11 @@ def queries() -> dict:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_audio": op6_audio,
         "op7_mixing": op7_mixing,
+        "op8_decontaminate": op8_decontaminate,
         "op9_chosen_path": op9_chosen_path,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_mixing": OP7_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op7_mixing": OP7_SQL, "op8_decontaminate": OP8_SQL}
