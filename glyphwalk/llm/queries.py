@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphwalk.llm import audio, chat_format, chosen_path, decontaminate, lm_scoring, mixing, quality, suffix_dedup, url_filter
+from glyphwalk.llm import audio, chaining, chat_format, chosen_path, decontaminate, lm_scoring, mixing, quality, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,10 @@ FROM h WHERE k = 1
 """
 
 
+def op4_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -112,8 +116,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-]+'), lambda w: w <> '') AS words FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-]+'), lambda w: w <> '') AS item FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS item FROM benchmark),
 bi AS (SELECT item_id, item, len(item) AS n FROM b WHERE len(item) > 4),
 ds AS (SELECT doc_id, len(words) AS total, unnest(range(0, len(words) - 4)) AS pos, words FROM d WHERE len(words) > 4),
 dh AS (SELECT doc_id, total, pos, array_to_string(words[pos + 1:pos + 5], ' ') AS s FROM ds),
@@ -144,6 +148,7 @@ def queries() -> dict:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_url_filter": op2_url_filter,
         "op3_chat_format": op3_chat_format,
+        "op4_chaining": op4_chaining,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_audio": op6_audio,
         "op7_mixing": op7_mixing,

@@ -31,25 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphwalk.llm._runs import runs
-from glyphwalk.llm._text import U, batches, join_texts, mix, prefix_hashes, range_hashes
+from glyphwalk.llm._text import U, batches, join_texts, mix, prefix_hashes, range_hashes, sliding_least
 from glyphwalk.plans.cut import cut
 
 WINDOW, GRAM, GROUP, BLOCK = 200, 40, 4096, 16 << 20
 
 
-def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every window of ``width`` values."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return values[:0]
-    padded = np.full(-(-len(values) // width) * width, ~U(0))
-    padded[: len(values)] = values
-    rows = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     """(anchor, first window, last window, gram hash, context hash, prefix hashes) of a batch of texts."""
     prefix = prefix_hashes(data)
