@@ -100,7 +100,8 @@ def link_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, digest, paths): set size, digest of the set, and its node at DEPTH in every tree."""
+    """(id, n, digest, paths): set size, digest of the set, and its node at DEPTH in every tree; further columns of ``docs``."""
+    carry = docs.columns[2:]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -111,9 +112,10 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
                 paths.append(descend(s, SEEDS, DEPTH).view(np.int64) if len(s) else np.zeros(0, np.int64))
             flat = np.concatenate(paths) if paths else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["id", "n", "digest", "paths"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, *[part[c] for c in carry]], ["id", "n", "digest", "paths", *carry])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, paths array<long>")
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(run, ", ".join(["id long, n long, digest binary, paths array<long>", *[f"`{c}` {kinds[c]}" for c in carry]]))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -156,10 +158,10 @@ def _nodes(members: DataFrame) -> DataFrame:
     return found.where("lo <> hi").select("tree", "node", "sets", "shingles")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row, and the columns ``carry`` as they are."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *carry)
     profiles = cut(_profiles(texts, k))
     classes = cut(
         profiles.where("n > 0 and id is not null").groupBy("digest")
@@ -205,6 +207,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col("id").alias("doc_id"),
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+            *carry,
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

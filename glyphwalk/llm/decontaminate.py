@@ -60,8 +60,11 @@ def blocks_of(bits: Column) -> Column:
     return F.array(*[F.concat(F.lit(f"{i}:"), F.substring(text, a + 1, b - a)) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, distance, similarity) of the best window of each pair."""
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.8, with_version: bool = False) -> DataFrame:
+    """(doc_id, item_id, start_word, n_words, distance, similarity) of the best window of each pair.
+
+    with_version: per text of an id, and its ``version`` (hash) too.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     bench = cut(
         items.select(F.col(item_id).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("item")).where("item_id is not null")
@@ -89,7 +92,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         keys = near(spread.where(F.col("k") == c).select("h").distinct())
         hits.append(here.select("doc_id", "version", F.col("s.h").alias("h")).join(keys, "h", "left_semi").select("doc_id", "version"))
     if not hits:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double")
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, " + "version long, " * with_version + "start_word long, n_words long, distance int, similarity double")
     found = cut(reduce(DataFrame.unionByName, hits).distinct())
     suspects = texts.withColumn("version", F.xxhash64("text")).join(found, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
     suspects = cut(suspects.select("doc_id", "version", words_of(F.col("text")).alias("words")))
@@ -126,10 +129,11 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy(*key).agg(F.sum(F.least("a", "b")).alias("shared"), F.sum(F.greatest("a", "b")).alias("united"))
     )
     similar = weights.where(F.col("shared") >= F.lit(threshold) * F.col("united")).join(pairs.select(*key, "n", "distance"), key)
-    best = similar.groupBy("doc_id", "item_id").agg(
+    by = ["doc_id", "item_id", *["version"] * with_version]
+    best = similar.groupBy(*by).agg(
         F.min(F.struct((-F.col("shared") / F.col("united")).alias("s"), "start", "n", "distance")).alias("m")
     )
     return best.select(
-        "doc_id", "item_id", F.col("m.start").cast("long").alias("start_word"), F.col("m.n").cast("long").alias("n_words"),
+        *by, F.col("m.start").cast("long").alias("start_word"), F.col("m.n").cast("long").alias("n_words"),
         F.col("m.distance").alias("distance"), (-F.col("m.s")).alias("similarity"),
     )

@@ -68,8 +68,9 @@ def mix(
     source_col: str = "source",
     weights: tuple[int, ...] = (5, 2, 1),
     cap: int = 3,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``.
+    """(doc_id, size, source_size, target, taken) for every row of ``docs``, and the columns ``carry``.
 
     taken: words the mix takes of the row. Whole epochs of the source come first, then the rows
     up to the budget in key order; the row at the cut gives the words that are still missing, so a
@@ -79,20 +80,21 @@ def mix(
     rows = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
+            F.col(source_col).alias("__source"),
+            *[F.col(c).alias(f"__carry_{c}") for c in carry],
             word_count(F.col(text_col)).alias("size"),
             key.alias("key"),
         ).withColumn("bucket", F.substring("key", 1, 3))
     )
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))
     plan = allocate(sources, weights, cap).select(
         F.col("source").alias("s"), "source_size", "target", F.floor("target").cast("long").alias("budget")
     )
     order = [F.col("key"), F.col("doc_id"), F.col("size")]
-    placed = prefix_sum(rows, ["source"], "bucket", order, "size", "before")
+    placed = prefix_sum(rows, ["__source"], "bucket", order, "size", "before")
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rest = F.col("budget") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken")
+    return placed.join(plan, F.col("__source").eqNullSafe(F.col("s"))).select(
+        "doc_id", *[F.col(f"__carry_{c}").alias(c) for c in carry], "size", "source_size", "target", taken.cast("long").alias("taken")
     )

@@ -8,9 +8,11 @@ its standard score. Documents are then drawn without replacement by Gumbel top-k
 of ``sharpness * log weight + Gumbel noise``, k being the labelled share of good rows times the
 number of documents. Documents outside the sample are rejected.
 
-n-grams: words as written, words in lower case without punctuation, and pairs of the latter, each
-hashed to 2**BITS buckets. The two models are therefore 3 * 2**BITS numbers, which is all that is
-sent to the driver and to tasks. Models are fitted on at most ``max_labels`` labelled rows (those
+n-grams: words as written, words in lower case without punctuation, pairs of the latter, and two
+symbols for how often a word follows itself, by itself and with the length (powers of two), each
+hashed to 2**BITS buckets. The two models are therefore 4 * 2**BITS numbers, which is all that is
+sent to the driver and to tasks. The sum of log ratios is divided by the root of WEAK + the number
+of n-grams, else long documents would outweigh short ones by their length. Models are fitted on at most ``max_labels`` labelled rows (those
 of smallest hash, so any part of the corpus has its share); everything else covers all rows.
 
 The noise is a hash of id and text, so reruns agree. The k-th largest key is found by histograms of
@@ -33,13 +35,18 @@ from glyphwalk.llm._text import LOWER, U, batches, join_texts, mix, prefix_hashe
 from glyphwalk.plans.cut import cut
 
 BITS = 17
-PRIOR, SHRINK, SHARPNESS = 1.0, 2.0, 20.0
+#: WEAK: n-grams' worth of doubt about short documents, so that few n-grams have little say.
+PRIOR, SHRINK, SHARPNESS, WEAK = 1.0, 3.0, 500.0, 30
 PLAIN = np.full(256, 0x20, np.uint8)
 for _i in range(256):
     if _i >= 128 or chr(_i).isalnum():
         PLAIN[_i] = LOWER[_i]
 
 
+def _log2(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(n + 1)).astype(np.int64)
+
+
 def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(text index, bucket) of the distinct hashed n-grams of each text, in order."""
     data, offsets = join_texts(texts)
@@ -55,6 +62,10 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
         if kind and len(hashes) > 1:
             same = doc[1:] == doc[:-1]
             found.append((doc[1:][same], shingle_hashes(hashes, 2)[same], 2))
+        if kind:
+            total, twice = (np.bincount(d, minlength=len(texts)) for d in (doc, doc[1:][(doc[1:] == doc[:-1]) & (hashes[1:] == hashes[:-1])]))
+            for mark in (_log2(twice), _log2(total) * 64 + _log2(twice) + 64):
+                found.append((np.arange(len(texts)), mix(mark.astype(U) * U(0x9E3779B97F4A7C15)), 3))
     keys = np.concatenate([(d.astype(np.int64) << (BITS + 2)) | (k << BITS) | (h >> U(64 - BITS)).astype(np.int64) for d, h, k in found])
     keys = np.unique(keys)
     return keys >> (BITS + 2), keys & ((1 << (BITS + 2)) - 1)
@@ -127,7 +138,7 @@ def score(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, sharp
             ids = part.column(at_id).to_pylist()
             for piece, texts in _batches(part.column(at_text)):
                 doc, bucket = features(texts)
-                weight[piece] = np.bincount(doc, weights=ratios[bucket], minlength=len(texts))
+                weight[piece] = np.bincount(doc, weights=ratios[bucket], minlength=len(texts)) / np.sqrt(WEAK + np.bincount(doc, minlength=len(texts)))
                 data, offsets = join_texts([f"{i} {t}" for i, t in zip(ids[piece], texts, strict=True)])
                 h = range_hashes(prefix_hashes(data), offsets[:-1], offsets[1:] - 1)
                 noise[piece] = ((mix(h + U(seed)) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
