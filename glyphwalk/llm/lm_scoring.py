@@ -10,11 +10,14 @@ Texts are lower-cased (A-Z), begin after ``ORDER`` start marks and end with an e
 0xFF are no UTF-8 bytes and serve as marks.
 
 Distribution: texts are packed into blocks of about 12 MB that are written once. A block lists the
-distinct (ORDER + 1)-grams and word hashes it needs, with its training counts. Counts are summed
-over blocks by key. The trie is evaluated where its parts meet: all contexts that share their last
-two bytes are one group, for which only the orders 0 and 1 are needed from outside (65,536 counts
-at most). Costs go back to the blocks that asked for them, which add them up per text. Neither the
-trie nor any table that grows is broadcast or collected; what is gathered grows with the corpus.
+distinct (ORDER + 1)-grams and word hashes it needs, with its training counts, split into parts by
+a hash of the key and packed as differences of sorted keys. Parts are merged as a stream, so memory
+follows a part's distinct keys. The trie is evaluated where its parts meet: all contexts that share
+their last two bytes are one group, for which only the orders 0 and 1 are needed from outside
+(65,536 counts at most). Each part then holds its costs against the blocks' requests, again as a
+stream, and sends values only: blocks know their own keys. Neither the trie nor any table that
+grows is broadcast or collected; what is gathered grows with the corpus. Costs travel as 32-bit
+floats (7 digits each) and are added as 64-bit ones.
 
 Words are keyed by a 64-bit hash. Null texts are empty, null ids count as the empty string for
 the split, repeated rows are texts of their own; without training texts every symbol is uniform.
@@ -32,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphwalk.llm._text import LOWER, batches, word_hashes
+from glyphwalk.llm._blocks import blocks, pack, unpack
+from glyphwalk.llm._text import LOWER, batches, mix, word_hashes
 from glyphwalk.plans.cut import cut
 
 ORDER = 5
@@ -129,59 +133,128 @@ def _spans(offsets: np.ndarray, n: int, mark: np.ndarray) -> np.ndarray:
     return np.repeat(mark, np.diff(offsets))[:n]
 
 
-def _pack(ids: pa.Array, texts: list) -> bytes:
-    sink = pa.BufferOutputStream()
-    table = pa.table({"i": ids, "t": pa.array(texts, pa.large_string())})
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, byte plane by byte plane, compressed."""
+    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def _block(ids: pa.Array, texts: list) -> Iterator[pa.RecordBatch]:
-    names = ["block", "kind", "key", "n", "payload"]
-    block = uuid.uuid4().int >> 65
-    train = np.array([not held_out(i) for i in ids.to_pylist()], bool)
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for b in range(0, len(keys), 1 << 16):
-            k = keys[b : b + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[b : b + (1 << 16)].astype(np.int64)), pa.nulls(len(k), pa.binary())], names)
 
-    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([PAYLOAD], pa.int8()), pa.nulls(1, pa.int64()), pa.array([int(train.sum())]), pa.array([_pack(ids, texts)], pa.binary())], names)
+def pack_values(values: np.ndarray) -> bytes:
+    size = values.dtype.itemsize
+    return zlib.compress(values.view(np.uint8).reshape(-1, size).T.tobytes(), 1)
+
+
+def unpack_values(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def parts_of(kind: int, keys: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Indices of the keys of each part; keys stay in order. Grams that begin alike are in one part, so their differences are small."""
+    at = (mix(keys.astype(np.uint64) >> np.uint64(24 if kind == GRAM else 0)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    return np.split(order, np.searchsorted(at[order], np.arange(1, parts)))
+
+
+NEED = pa.schema([("block", pa.int64()), ("kind", pa.int8()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("payload", pa.binary())])
+MODEL = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("tail", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("kinds", pa.int64())])
+
+
+def needs_of(texts: list, parts: int, train: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+    """(kind, part, sorted keys, training counts) of everything that the texts ask the model."""
     data, offsets = symbols_of(texts)
     at, grams = gram_ids(data)
     good = data[ORDER:] != START
     used = np.zeros(len(grams), bool)
     used[at[good]] = True
-    good &= _spans(offsets, len(data), train)[ORDER:]
-    counts = np.bincount(at[good], minlength=len(grams))
+    counts = None
+    if train is not None:
+        good &= _spans(offsets, len(data), train)[ORDER:]
+        counts = np.bincount(at[good], minlength=len(grams))[used]
     del at, good, data
-    yield from rows(GRAM, grams[used], counts[used])
+    grams = grams[used]
+    for part, i in enumerate(parts_of(GRAM, grams, parts)):
+        if len(i):
+            yield GRAM, part, grams[i], None if counts is None else counts[i]
     hashes, first = word_hashes(texts)
     keys, where = np.unique(hashes, return_inverse=True)
-    counts = np.bincount(where, weights=np.repeat(train, np.diff(first)), minlength=len(keys))
-    yield from rows(WORD, keys.view(np.int64), counts)
+    counts = None if train is None else np.bincount(where, weights=np.repeat(train, np.diff(first)), minlength=len(keys)).astype(np.int64)
+    for part, i in enumerate(parts_of(WORD, keys, parts)):
+        if len(i):
+            yield WORD, part, keys[i], None if counts is None else counts[i]
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(block, kind, key, n, payload): what each block needs, its training counts, and its texts."""
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, size: int, parts: int) -> DataFrame:
+    """Per block its texts, and per part the keys that it needs with its training counts."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches_, 1, size):
+            block = uuid.uuid4().int >> 65
+            train = np.array([not held_out(i) for i in rows.column(0).to_pylist()], bool)
+            yield pa.RecordBatch.from_pylist([{"block": block, "kind": PAYLOAD, "n": int(train.sum()), "payload": pack(rows)}], schema=NEED)
+            out = [{"block": block, "kind": kind, "part": part, "keys": pack_keys(keys), "counts": pack_values(counts.astype(np.uint32)), "n": None, "payload": None} for kind, part, keys, counts in needs_of(rows.column(1).to_pylist(), parts, train)]
+            yield pa.RecordBatch.from_pylist(out, schema=NEED)
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "block long, kind byte, part int, keys binary, counts binary, n long, payload binary")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, held = [], [], 0
-        for part in parts:
-            got = part.column(1).to_pylist()
-            begin = 0
-            for i, t in enumerate(got):
-                held += len(t or "") + 1
-                if held >= size:
-                    yield from _block(pa.concat_arrays([*ids, part.column(0).slice(begin, i + 1 - begin)]), texts + got[begin : i + 1])
-                    ids, texts, held, begin = [], [], 0, i + 1
-            ids.append(part.column(0).slice(begin))
-            texts += got[begin:]
-        if texts:
-            yield from _block(pa.concat_arrays(ids), texts)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "block long, kind byte, key long, n long, payload binary")
+def _merged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of counts by key; input is sorted by kind and part. Grams go on by their tail (the two bytes before the last)."""
+
+    def flush(kind: int, part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        if kind == WORD:
+            cuts, names = [np.arange(len(keys))], [-1]
+        else:
+            tail = (keys >> np.uint64(8)).astype(np.int64) & 65535
+            order = np.argsort(tail, kind="stable")
+            names, first = np.unique(tail[order], return_index=True)
+            cuts = np.split(order, first[1:])
+        rows = [{"kind": kind, "part": part, "tail": int(t), "keys": pack_keys(keys[i]), "counts": pack_values(counts[i].astype(np.uint64)), "n": int(counts[i].sum()), "kinds": int((counts[i] > 0).sum())} for t, i in zip(names, cuts, strict=True)]
+        return pa.RecordBatch.from_pylist(rows, schema=MODEL)
+
+    def joined(held: list) -> tuple[np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(where, weights=np.concatenate([c for _, c in held]), minlength=len(keys)).astype(np.int64)
+
+    now, held, total = None, [], 0
+    for batch in parts:
+        for row in batch.to_pylist():
+            if (row["kind"], row["part"]) != now:
+                if held:
+                    yield flush(*now, *joined(held))
+                now, held, total = (row["kind"], row["part"]), [], 0
+            keys = unpack_keys(row["keys"])
+            held.append((keys, unpack_values(row["counts"], np.uint32).astype(np.int64)))
+            total += len(keys)
+            if total > 2_000_000:
+                held = [joined(held)]
+                total = 0
+    if held:
+        yield flush(*now, *joined(held))
+
+
+def _looked_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values of the keys that blocks ask for; the rows of a part begin with its model (block null)."""
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int8()), ("part", pa.int32()), ("values", pa.binary())])
+    now, keys, values, model = None, None, None, []
+    for batch in parts:
+        for row in batch.to_pylist():
+            if (row["kind"], row["part"]) != now:
+                now, keys, model = (row["kind"], row["part"]), None, []
+            if row["block"] is None:
+                model.append((unpack_keys(row["keys"]), unpack_values(row["counts"], np.float32 if row["kind"] == GRAM else np.uint64)))
+                continue
+            if keys is None:
+                keys, values = (np.concatenate(x) for x in zip(*model, strict=True))
+                order = np.argsort(keys, kind="stable")
+                keys, values, model = keys[order], values[order], []
+            found = values[np.searchsorted(keys, unpack_keys(row["keys"]))]
+            yield pa.RecordBatch.from_pylist([{"block": row["block"], "kind": row["kind"], "part": row["part"], "values": pack_values(found)}], schema=schema)
 
 
 def evaluate(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -243,42 +316,71 @@ def evaluate(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = OR
     return out
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, parts: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text.
+
+    parts: into how many the model is split by key; by default as many as there are shuffle
+    partitions, 64 at least.
+    """
     kind = dict(docs.dtypes)[id_col]
-    blocks = cut(blocks_of(docs, id_col, text_col, block_bytes))
-    needs = blocks.where(F.col("kind") != PAYLOAD).select("block", "kind", "key", "n")
-    grams = needs.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n"))
-    words = needs.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n"))
-    grams, words = cut(grams), cut(words)
+    parts = parts or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocked = cut(blocks_of(docs, id_col, text_col, block_bytes, parts))
+    needs = blocked.where(F.col("kind") != PAYLOAD).select("block", "kind", "part", "keys", "counts")
+    counts = cut(
+        needs.select("kind", "part", "keys", "counts").repartition("kind", "part").sortWithinPartitions("kind", "part")
+        .mapInArrow(_merged, "kind byte, part int, tail int, keys binary, counts binary, n long, kinds long")
+    )
+    n_words, n_kinds = counts.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    ends = blocked.where(F.col("kind") == PAYLOAD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tokens, kinds = n_words + ends, n_kinds + (ends > 0)
+
+    def last_pairs(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(65536, np.int64)
+        for batch in batches_:
+            for k, c in zip(batch["keys"], batch["counts"], strict=True):
+                at = (unpack_keys(k.as_py()) & np.uint64(65535)).astype(np.int64)
+                table += np.bincount(at, weights=unpack_values(c.as_py(), np.uint64), minlength=65536).astype(np.int64)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["p", "n"])
+
+    grams = counts.where(F.col("kind") == GRAM)
     pairs = np.zeros((256, 256), np.int64)
-    for r in grams.where("n > 0").groupBy(F.expr("key & 65535").alias("p")).agg(F.sum("n").alias("n")).collect():
+    for r in grams.select("keys", "counts").mapInArrow(last_pairs, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect():
         pairs[r["p"] >> 8, r["p"] & 255] = r["n"]
-    n_words, n_kinds = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = blocks.where(F.col("kind") == PAYLOAD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tokens, kinds = n_words + ends, n_kinds + (ends > 0)
 
     def part_costs(table: pa.Table) -> pa.Table:
-        keys, n = table["key"].to_numpy(), table["n"].to_numpy()
+        each = [unpack_keys(k.as_py()).astype(np.int64) for k in table["keys"]]
+        keys = np.concatenate(each)
+        n = np.concatenate([unpack_values(c.as_py(), np.uint64).astype(np.int64) for c in table["counts"]])
         order = np.argsort(keys, kind="stable")
-        return pa.table({"key": keys[order], "value": evaluate(keys[order], n[order], pairs)})
-
-    costs = grams.groupBy(F.expr("(key >> 8) & 65535").alias("tail")).applyInArrow(part_costs, "key long, value double")
-    values = costs.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value").unionByName(
-        words.select(F.lit(WORD).cast("byte").alias("kind"), "key", F.col("n").cast("double").alias("value"))
+        cost = np.empty(len(keys), np.float32)
+        cost[order] = evaluate(keys[order], n[order], pairs)
+        return pa.table({"part": table["part"], "keys": table["keys"], "counts": pa.array([pack_values(c) for c in np.split(cost, np.cumsum([len(k) for k in each])[:-1])], pa.binary())})
+
+    costs = grams.select("tail", "part", "keys", "counts").groupBy("tail").applyInArrow(part_costs, "part int, keys binary, counts binary")
+    none = F.lit(None).cast("long").alias("block")
+    model = costs.select(none, F.lit(GRAM).cast("byte").alias("kind"), "part", "keys", "counts").unionByName(
+        counts.where(F.col("kind") == WORD).select(none, "kind", "part", "keys", "counts")
     )
-    answers = needs.select("block", "kind", "key").join(values, ["kind", "key"])
+    asked = model.unionByName(needs.select("block", "kind", "part", "keys", F.lit(None).cast("binary").alias("counts")))
+    answers = (
+        asked.repartition("kind", "part").sortWithinPartitions("kind", "part", F.col("block").asc_nulls_first())
+        .mapInArrow(_looked_up, "block long, kind byte, part int, values binary")
+    )
 
     def score_block(payload: pa.Table, answers: pa.Table) -> pa.Table:
-        got = [pa.ipc.open_stream(p.as_py()).read_all() for p in payload["payload"]]
-        table = pa.concat_tables(got)
-        ids, texts = table["i"], table["t"].to_pylist()
-        which, keys, value = answers["kind"].to_numpy(), answers["key"].to_numpy(), answers["value"].to_numpy()
+        rows = unpack(payload["payload"])
+        ids, texts = rows.column(0), rows.column(1).to_pylist()
+        told = {(r["kind"], r["part"]): r["values"] for r in answers.to_pylist()}
         data, offsets = symbols_of(texts)
         at, grams = gram_ids(data)
-        known, v = keys[which == GRAM], value[which == GRAM]
         cost = np.zeros(len(grams))
-        cost[np.searchsorted(grams, known)] = v
+        used = np.zeros(len(grams), bool)
+        used[at[data[ORDER:] != START]] = True
+        used = np.flatnonzero(used)
+        for part, i in enumerate(parts_of(GRAM, grams[used], parts)):
+            if len(i):
+                cost[used[i]] = unpack_values(told[GRAM, part], np.float32)
         # One sum per text: the gram at symbol i predicts symbol i + ORDER of the same text.
         total = np.zeros(len(texts))
         for piece in batches(np.diff(offsets).tolist(), 1 << 20):
@@ -288,9 +390,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             total += np.bincount(owner, weights=each, minlength=len(texts))
         del at, data
         hashes, first = word_hashes(texts)
-        by = np.argsort(keys[which == WORD].view(np.uint64))
-        known, v = keys[which == WORD].view(np.uint64)[by], value[which == WORD][by]
-        c = v[np.searchsorted(known, hashes)] if len(hashes) else np.zeros(0)
+        known, where = np.unique(hashes, return_inverse=True)
+        value = np.zeros(len(known))
+        for part, i in enumerate(parts_of(WORD, known, parts)):
+            if len(i):
+                value[i] = unpack_values(told[WORD, part], np.uint64)
+        c = value[where]
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         base = np.bincount(owner, weights=np.log10((c + 1) / (tokens + kinds + 1)), minlength=len(texts))
         base = base + np.log10((ends + 1) / (tokens + kinds + 1))
@@ -301,7 +406,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         })
 
     return (
-        blocks.where(F.col("kind") == PAYLOAD).select(F.col("block").alias("home"), "payload").groupBy("home")
+        blocked.where(F.col("kind") == PAYLOAD).select(F.col("block").alias("home"), "payload").groupBy("home")
         .cogroup(answers.groupBy("block"))
         .applyInArrow(score_block, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
