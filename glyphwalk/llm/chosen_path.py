@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphwalk.llm._blocks import trim
 from glyphwalk.llm._runs import runs
 from glyphwalk.llm._text import U, batches, mix, shingle_hashes, words_of
 from glyphwalk.plans.components import connected_components
@@ -113,6 +114,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             flat = np.concatenate(paths) if paths else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, *[part[c] for c in carry]], ["id", "n", "digest", "paths", *carry])
+            trim()
 
     kinds = dict(docs.dtypes)
     return docs.mapInArrow(run, ", ".join(["id long, n long, digest binary, paths array<long>", *[f"`{c}` {kinds[c]}" for c in carry]]))
@@ -123,6 +125,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         for part in parts:
             found = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["rep", "tokens"])
+            del found
+            trim()
 
     return docs.mapInArrow(run, "rep long, tokens binary")
 
@@ -147,6 +151,9 @@ def _compare(members: DataFrame, percent: int) -> DataFrame:
                 if links:
                     a, b = np.array(links).T
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+            if node.nbytes > 1 << 22:
+                del node
+                trim()
 
     dealt = members.select("tree", "node", "rep", "tokens").repartition("tree", "node").sortWithinPartitions("tree", "node")
     return dealt.mapInArrow(run, "a long, b long")

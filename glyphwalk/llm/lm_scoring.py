@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphwalk.llm._blocks import blocks, pack, unpack
+from glyphwalk.llm._blocks import blocks, pack, trim, unpack
 from glyphwalk.llm._text import LOWER, batches, mix, word_hashes
 from glyphwalk.plans.cut import cut
 
@@ -400,6 +400,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         base = np.bincount(owner, weights=np.log10((c + 1) / (tokens + kinds + 1)), minlength=len(texts))
         base = base + np.log10((ends + 1) / (tokens + kinds + 1))
         n_known = np.bincount(owner, weights=c > 0, minlength=len(texts)).astype(np.int64) + int(ends > 0)
+        trim()
         return pa.table({
             id_col: ids, "held_out": [held_out(i) for i in ids.to_pylist()], "n_tokens": np.diff(first) + 1, "n_known": n_known,
             "train_tokens": np.full(len(texts), tokens, np.int64), "base_score": base, "score": total,

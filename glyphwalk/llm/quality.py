@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphwalk.llm._blocks import trim
 from glyphwalk.llm._text import LOWER, U, batches, join_texts, mix, prefix_hashes, range_hashes, shingle_hashes, word_spans
 from glyphwalk.plans.cut import cut
 
@@ -145,6 +146,7 @@ def score(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, sharp
             weight = np.round(weight, 9)
             key = sharpness * weight - np.log(-np.log(noise))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight), pa.array(key)], [*names, "__weight", "__key"])
+            trim()
 
     return docs.mapInArrow(run, schema)
 

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphwalk.llm._blocks import trim
 from glyphwalk.llm._runs import runs
 from glyphwalk.llm._text import U, batches, join_texts, mix, prefix_hashes, range_hashes, sliding_least
 from glyphwalk.plans.cut import cut
@@ -194,6 +195,7 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
                 held += len(t or "") + 1
                 if held >= size:
                     yield from block(pa.concat_arrays([*ids, part.column(0).slice(begin, i + 1 - begin)]), texts + got[begin : i + 1])
+                    trim()
                     ids, texts, held, begin = [], [], 0, i + 1
             ids.append(part.column(0).slice(begin))
             texts += got[begin:]
