@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_COLLECTING: list[list[str]] = []
+
+
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Notes the folders of all cuts made meanwhile, for ``remove`` once no plan reads them."""
+    _COLLECTING.append(paths)
+    try:
+        yield
+    finally:
+        _COLLECTING.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder; returns a scan of what was written."""
     spark = df.sparkSession
@@ -31,6 +52,8 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    for paths in _COLLECTING:
+        paths.append(path)
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
@@ -41,6 +64,4 @@ def drop_cut(df: DataFrame) -> None:
     """Removes the files of a cut that no later plan reads."""
     path = getattr(df, "_cut_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove(df.sparkSession, [path])

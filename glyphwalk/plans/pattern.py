@@ -161,7 +161,7 @@ class _Parser:
         stop = self.text.find(end, self.at)
         if stop < 0:
             raise PatternError(f"{end!r} is missing in {self.text!r}")
-        out, self.at = self.text[self.at : stop], stop + 1
+        out, self.at = self.text[self.at : stop], stop + len(end)
         return out
 
     def atom(self) -> Node:
