@@ -21,6 +21,8 @@ class Engine:
     """A model that is settled in the shared folder, ready for any number of queries."""
 
     model: LanguageModel
+    #: Whether searches that touch few model rows run in the driver's process.
+    in_process: bool = True
 
     def plan(self, query: Query) -> Automaton:
         """The token automaton of the query."""
@@ -35,7 +37,7 @@ class Engine:
     def search(self, query: Query | Mapping[str, Query]) -> DataFrame:
         """(query_id, rank, tokens, text, cost); a mapping runs many queries in one frontier."""
         queries = query if isinstance(query, Mapping) else {"0": query}
-        return run_plans(self.model, [self.compile(q, i) for i, q in queries.items()])
+        return run_plans(self.model, [self.compile(q, i) for i, q in queries.items()], self.in_process)
 
 
 def prepare(model: LanguageModel, vocabulary: Vocabulary | None = None) -> Engine:

@@ -11,7 +11,8 @@ rounded to nine digits before any comparison. Three prunes keep the frontier sma
 
 Queries that share their options advance together in one frontier, told apart by ``query_id``.
 A level's result is kept as a local relation while it is small (its size is checked), and as a
-table in the shared folder beyond.
+table in the shared folder beyond. Searches that touch few model rows skip the tables altogether
+(``local_search``); both ways give the same answers.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphwalk.operators import local_search
 from glyphwalk.operators.language_model import LanguageModel, pick, uniform
 from glyphwalk.operators.vocabulary import Vocabulary
 from glyphwalk.plans.automaton import Automaton
 from glyphwalk.plans.cut import cut
 from glyphwalk.plans.query import Order, PatternQuery, SearchOptions, Tokens, as_options
 
-LOCAL_ROWS, BROADCAST_ROWS, DEFAULT_LEN = 20_000, 1_000_000, 64
+LOCAL_ROWS, BROADCAST_ROWS, DEFAULT_LEN, ATTEMPTS = 20_000, 1_000_000, 64, 20
 FRONTIER = "query_id string, state int, prefix_state int, context array<int>, tokens array<int>, cost double"
 
 
@@ -218,7 +220,7 @@ def _canonical_check(plans: list[Plan], model: LanguageModel):
     return check
 
 
-def _sampled(model: LanguageModel, plans: list[Plan], o: SearchOptions, attempts: int = 20) -> DataFrame:
+def _sampled(model: LanguageModel, plans: list[Plan], o: SearchOptions, attempts: int = ATTEMPTS) -> DataFrame:
     """(query_id, tokens, cost, walker): ``limit`` walks per query; stuck walkers start again with another seed."""
     spark = model.rows.sparkSession
     n = o.limit or 1
@@ -286,8 +288,23 @@ def decode(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return texts.select("__id.*", F.array_join(F.transform("l", lambda x: x["piece"]), "").alias("text"))
 
 
-def run_plans(model: LanguageModel, plans: list[Plan]) -> DataFrame:
-    """Answers of all plans: (query_id, rank, tokens, text, cost), ranks from 1 by cost and tokens (samples: by walker)."""
+def _in_process(model: LanguageModel, plans: list[Plan], o: SearchOptions) -> DataFrame:
+    """The same answers without a job per level; raises TooLarge beyond the sizes checked there."""
+    few = local_search.LocalModel(model, [a for p in plans for a in (p.automaton, p.prefix) if a is not None], o.top_k)
+    spark = model.rows.sparkSession
+    if o.order is Order.RANDOM:
+        rows = [(p.query_id, w, t, c) for p in plans for w, t, c in local_search.sample(few, p, ATTEMPTS)]
+        return spark.createDataFrame(rows, "query_id string, walker long, tokens array<int>, cost double")
+    marks = {model.vocabulary.eos, model.vocabulary.bos}
+    check = (lambda tokens: model.vocabulary.is_canonical([t for t in tokens if t not in marks])) if o.dynamic_canonical else None
+    return spark.createDataFrame([(p.query_id, t, c) for p in plans for t, c in local_search.best(few, p, check)], RESULT)
+
+
+def run_plans(model: LanguageModel, plans: list[Plan], in_process: bool = True) -> DataFrame:
+    """Answers of all plans: (query_id, rank, tokens, text, cost), ranks from 1 by cost and tokens (samples: by walker).
+
+    Small searches run in the driver's process (their size is checked first), others as frontier tables.
+    """
     groups: dict[tuple, list[Plan]] = defaultdict(list)
     for p in plans:
         o = p.options
@@ -298,7 +315,12 @@ def run_plans(model: LanguageModel, plans: list[Plan]) -> DataFrame:
         tempered = model.temper(o.temperature)
         tempered = tempered if tempered is model else tempered.settled()
         random = o.order is Order.RANDOM
-        found = (_sampled if random else _best)(tempered, members, o)
+        try:
+            if not in_process:
+                raise local_search.TooLarge
+            found = _in_process(tempered, members, o)
+        except local_search.TooLarge:
+            found = (_sampled if random else _best)(tempered, members, o)
         order = ["walker"] if random else [*([F.size("tokens")] if o.order is Order.ENUMERATE else ["cost"]), "tokens"]
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
         out.append(decode(ranked.select("query_id", "rank", "tokens", "cost"), model.vocabulary))

@@ -250,10 +250,9 @@ def lift_edges(edges: DataFrame, vocab: DataFrame) -> DataFrame:
     arcs = edges.select(F.col("src").alias("at"), "lo", "hi", "dst")
     chars = vocab.select("token", "piece_len", characters_of(F.col("piece")).alias("chars"))
     longest = vocab.agg(F.max("piece_len")).first()[0] or 0
-    starts = edges.select("src").union(edges.select("dst")).distinct()
     code = F.ascii(F.element_at("chars", 1))
     here = chars.join(near(arcs), (code >= F.col("lo")) & (code <= F.col("hi"))).select("token", "piece_len", "chars", F.col("at").alias("src"), F.col("dst").alias("to"))
-    here = cut(here.join(near(starts), F.col("src") == starts["src"], "left_semi"))
+    here = cut(here)
     out = [here.where("piece_len = 1")]
     for i in range(2, longest + 1):
         code = F.ascii(F.element_at("chars", i))

@@ -13,8 +13,8 @@ from glyphwalk.plans.query import Order, PatternQuery, Preprocessing, SearchOpti
 THE = Vocabulary({"the": 1169, "t": 83, "h": 71, "e": 68, "th": 400, "he": 258}, eos=5)
 
 
-@pytest.fixture(scope="module")
-def toy(spark):
+@pytest.fixture(scope="module", params=[True, False], ids=["in process", "frontier tables"])
+def toy(spark, request):
     """An order-1 model over a, b, c and the end mark, and its rows by context."""
     r, rows = random.Random(4), []
     for c in (BOS, 97, 98, 99):
@@ -26,7 +26,7 @@ def toy(spark):
     for c, t, p in rows:
         table.setdefault(c[0], {})[t] = p
     vocabulary = Vocabulary.characters("abc")
-    return engine.prepare(LanguageModel.of_rows(spark, rows, vocabulary=vocabulary)), table
+    return engine.Engine(LanguageModel.of_rows(spark, rows, vocabulary=vocabulary).settled(), request.param), table
 
 
 def brute(table, query, max_len):
