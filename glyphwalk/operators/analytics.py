@@ -32,7 +32,7 @@ def chi_square(observed: DataFrame, expected: DataFrame, key: list[str], count:
     o, e = observed.select(*key, F.col(count).alias("o")), expected.select(*key, F.col(count).alias("e"))
     both = o.join(e, key, "full").fillna(0, ["o", "e"]).where("e > 0")
     found = both.agg(F.sum(F.pow(F.col("o") - F.col("e"), F.lit(2)) / F.col("e")).alias("statistic"), (F.count(F.lit(1)) - 1).alias("df"))
-    return found.withColumn("p_value", chi_square_tail("statistic", "df"))
+    return found.withColumn("p_value", F.pandas_udf(_tail, "double")("statistic", "df"))
 
 
 def gamma_tail(a: float, x: float) -> float:
@@ -61,8 +61,7 @@ def gamma_tail(a: float, x: float) -> float:
     return lead * h
 
 
-@F.pandas_udf("double")
-def chi_square_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
+def _tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(s) or n < 1 else gamma_tail(n / 2, s / 2) for s, n in zip(statistic, df, strict=True)], dtype="float64")
 
 
