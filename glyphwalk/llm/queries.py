@@ -80,17 +80,17 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, count(*)::BIGINT AS n,
-             list({'r': role, 't': text} ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS l,
-             string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
-                        ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS s
-      FROM t GROUP BY conv_id),
-h AS (SELECT a.conv_id, a.n, a.s, b.conv_id AS kept_id,
-             row_number() OVER (PARTITION BY a.conv_id ORDER BY b.n DESC, b.conv_id) AS k
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos FROM t),
+c AS (SELECT conv_id, count(*)::BIGINT AS n, list({'r': role, 't': text} ORDER BY pos) AS l FROM q GROUP BY conv_id),
+p AS (SELECT conv_id, pos // 256 AS part,
+             string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS s
+      FROM q GROUP BY conv_id, pos // 256),
+h AS (SELECT a.conv_id, a.n, b.conv_id AS kept_id, row_number() OVER (PARTITION BY a.conv_id ORDER BY b.n DESC, b.conv_id NULLS FIRST) AS k
       FROM c a JOIN c b ON b.l[1] = a.l[1] AND b.n >= a.n AND list_slice(b.l, 1, a.n) = a.l)
-SELECT conv_id, 0::BIGINT AS part, n AS n_turns, conv_id = kept_id AS kept, kept_id,
-       CASE WHEN conv_id = kept_id THEN s END AS rendered
-FROM h WHERE k = 1
+SELECT h.conv_id, p.part::BIGINT AS part, n AS n_turns, true AS kept, kept_id, s AS rendered
+FROM h JOIN p ON p.conv_id IS NOT DISTINCT FROM h.conv_id WHERE k = 1 AND h.conv_id IS NOT DISTINCT FROM kept_id
+UNION ALL
+SELECT conv_id, 0, n, false, kept_id, NULL FROM h WHERE k = 1 AND conv_id IS DISTINCT FROM kept_id
 """
 
 
