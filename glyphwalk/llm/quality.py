@@ -17,7 +17,7 @@ of smallest hash, so any part of the corpus has its share); everything else cove
 
 The noise is a hash of id and text, so reruns agree. The k-th largest key is found by histograms of
 4,096 bins, each narrowing the last, never by a global sort. Rows whose key ties with it are kept
-too. Null text is the empty text, whose weight is 0; null ids have no label; repeated rows have
+too. Null text is the empty text; null ids have no label; repeated rows have
 equal keys and share their fate. Without labels every document is kept.
 """
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +49,8 @@ def _log2(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(n + 1)).astype(np.int64)
 
 
-def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket) of the distinct hashed n-grams of each text, in order."""
+def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, bucket) of the distinct hashed n-grams of each text, in order, and a hash of each text."""
     data, offsets = join_texts(texts)
     found = []
     for kind, view in enumerate((data, PLAIN[data])):
@@ -57,8 +58,11 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
             view = view.copy()
             view[offsets[1:] - 1] = 0x0A
         starts, ends = word_spans(view)
-        hashes = range_hashes(prefix_hashes(view), starts, ends)
-        doc = np.searchsorted(offsets, starts, side="right") - 1
+        prefix = prefix_hashes(view)
+        hashes = range_hashes(prefix, starts, ends)
+        if not kind:
+            whole = range_hashes(prefix, offsets[:-1], offsets[1:] - 1)
+        doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets)))
         found.append((doc, hashes, kind))
         if kind and len(hashes) > 1:
             same = doc[1:] == doc[:-1]
@@ -69,7 +73,7 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
                 found.append((np.arange(len(texts)), mix(mark.astype(U) * U(0x9E3779B97F4A7C15)), 3))
     keys = np.concatenate([(d.astype(np.int64) << (BITS + 2)) | (k << BITS) | (h >> U(64 - BITS)).astype(np.int64) for d, h, k in found])
     keys = np.unique(keys)
-    return keys >> (BITS + 2), keys & ((1 << (BITS + 2)) - 1)
+    return keys >> (BITS + 2), keys & ((1 << (BITS + 2)) - 1), whole
 
 
 def _batches(texts: pa.Array) -> Iterator[tuple[slice, list]]:
@@ -102,14 +106,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
             mark = good[at[hit]]
             n += (len(hit), mark.sum())
             for piece, texts in _batches(part.column(1).take(pa.array(hit))):
-                doc, bucket = features(texts)
+                doc, bucket, _ = features(texts)
                 raw += np.bincount(bucket, minlength=len(raw))
                 target += np.bincount(bucket[mark[piece][doc]], minlength=len(raw))
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(raw[at], n[0])), pa.array(np.append(target[at], n[1]))], ["bucket", "raw", "target"])
 
     counted = (
-        docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+        docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+        .join(F.broadcast(docs.sparkSession.createDataFrame(chosen[["i"]], "i long")), "i", "left_semi")  # at most max_labels rows
         .mapInArrow(count, "bucket long, raw long, target long")
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     )
@@ -136,13 +141,11 @@ def score(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, sharp
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             weight, noise = np.zeros(part.num_rows), np.zeros(part.num_rows)
-            ids = part.column(at_id).to_pylist()
+            ids = mix(pc.fill_null(part.column(at_id).cast(pa.int64()), -1).to_numpy(zero_copy_only=False).view(U) + U(seed))
             for piece, texts in _batches(part.column(at_text)):
-                doc, bucket = features(texts)
+                doc, bucket, whole = features(texts)
                 weight[piece] = np.bincount(doc, weights=ratios[bucket], minlength=len(texts)) / np.sqrt(WEAK + np.bincount(doc, minlength=len(texts)))
-                data, offsets = join_texts([f"{i} {t}" for i, t in zip(ids[piece], texts, strict=True)])
-                h = range_hashes(prefix_hashes(data), offsets[:-1], offsets[1:] - 1)
-                noise[piece] = ((mix(h + U(seed)) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
+                noise[piece] = ((mix(whole + ids[piece]) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
             weight = np.round(weight, 9)
             key = sharpness * weight - np.log(-np.log(noise))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight), pa.array(key)], [*names, "__weight", "__key"])
