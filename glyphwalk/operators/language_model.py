@@ -38,6 +38,25 @@ def ngram_counts(sequences: DataFrame, tokens: str = "tokens", order: int = 1, b
     return counted.select(F.array(*columns[:-1]).cast("array<int>").alias("context"), F.col(columns[-1]).alias("token"), "n")
 
 
+def character_pairs(docs: DataFrame, text: str, bos: int = BOS, eos: int | None = None) -> DataFrame:
+    """``ngram_counts`` of order 1 over code points, by way of the distinct words.
+
+    Texts are cut at spaces; a word between spaces has the pairs of ' word ', and the first and last
+    ones meet the marks instead. Words repeat far more than they vary, so most of the work is the
+    aggregate over words, with map-side combine.
+    """
+    cut_ = docs.where(F.col(text).isNotNull()).select(F.split(text, " ").alias("w"))
+    spread = cut_.select(F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    words = spread.groupBy("word", (F.col("i") == 0).alias("first"), (F.col("i") == F.col("n") - 1).alias("last")).agg(F.count(F.lit(1)).alias("m"))
+    codes = F.transform(characters_of(F.col("word")), lambda c: F.ascii(c))
+    end = F.array(F.lit(eos)) if eos is not None else F.array().cast("array<int>")
+    t = F.concat(F.array(F.when(F.col("first"), F.lit(bos)).otherwise(F.lit(32))), codes, F.when(F.col("last"), end).otherwise(F.array(F.lit(32))))
+    size = F.greatest(F.size("t") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("t", 1, size), F.slice("t", 2, size), lambda a, b: F.struct(a.alias("c"), b.alias("token")))
+    counted = words.select(t.alias("t"), "m").select(F.explode(pairs).alias("p"), "m").groupBy("p.c", "p.token").agg(F.sum("m").alias("n"))
+    return counted.select(F.array("c").alias("context"), "token", "n")
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     by = Window.partitionBy("context").orderBy(F.col("p").desc(), "token")
     return rows.select("context", "token", "p", F.row_number().over(by).alias("rank"))
@@ -75,6 +94,8 @@ class LanguageModel:
     @staticmethod
     def of_characters(docs: DataFrame, text: str = "text", order: int = 1, eos: int | None = None, **args) -> LanguageModel:
         """Tokens are code points."""
+        if order == 1:
+            return LanguageModel.from_counts(character_pairs(docs, text, eos=eos), 1, eos=eos, **args)
         tokens = docs.select(F.transform(characters_of(F.col(text)), lambda c: F.ascii(c)).alias("tokens"))
         return LanguageModel.from_counts(ngram_counts(tokens, order=order, eos=eos), order, eos=eos, **args)
 

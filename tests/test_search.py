@@ -4,7 +4,9 @@ import random
 import pytest
 
 from glyphwalk import engine
-from glyphwalk.operators.language_model import BOS, EOS, LanguageModel
+from pyspark.sql import functions as F
+
+from glyphwalk.operators.language_model import BOS, EOS, LanguageModel, character_pairs, ngram_counts
 from glyphwalk.operators.search import compile_query
 from glyphwalk.operators.vocabulary import Vocabulary, lift_edges, to_bytes, tokenizations
 from glyphwalk.plans.automaton import Automaton, Infinite
@@ -220,3 +222,11 @@ def test_model_reshaping_and_scores(spark):
     assert rows(scored)[0, 1] == (0.75, 1)
     second = LanguageModel.of_characters(spark.createDataFrame([("abab",), (None,), ("",)], "text string"), order=2, eos=EOS)
     assert {(tuple(r["context"]), r["token"]): r["p"] for r in second.rows.collect()}[(97, 98), 97] == 0.5
+
+
+def test_character_pairs_by_words(spark):
+    docs = spark.createDataFrame([("a bc  d",), (" x ",), ("",), (None,), (" ",), ("é🙂 b\nb",)], "text string")
+    tokens = docs.select(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c)).alias("tokens"))
+    plain = lambda df: sorted((r["context"][0], r["token"], r["n"]) for r in df.collect())
+    for eos in (None, EOS):
+        assert plain(character_pairs(docs, "text", eos=eos)) == plain(ngram_counts(tokens, eos=eos))
