@@ -139,3 +139,18 @@ def model_samples(spark, sf):
     """Ancestral samples from the character model, deterministic by seed."""
     found = char_model(spark, sf).settled().sample(spark, 50, 12, seed=5)
     return found.select("walker", F.size("tokens").alias("n_tokens"))
+
+
+@query(f"""WITH {CHARS}, i AS (SELECT p_name, unnest(list_prepend(-1, u[:-2])) AS c, unnest(u) AS t FROM (
+    SELECT p_name, list_transform(string_split(p_name, ''), lambda x: unicode(x)) AS u FROM (SELECT DISTINCT p_name FROM part)))
+  SELECT p_name AS text, bool_and(coalesce(rank <= 30, false)) AS possible FROM i LEFT JOIN lm USING (c, t) GROUP BY p_name""")
+def can_generate_string(spark, sf):
+    names = read(spark, sf, "part").select(F.col("p_name").alias("text")).distinct()
+    encodings = names.select("text", F.transform(characters_of(F.col("text")), lambda c: F.ascii(c)).alias("tokens"))
+    return char_model(spark, sf).encodable(names, encodings, 30).select("text", F.col("tokens").isNotNull().alias("possible"))
+
+
+@query(f"WITH {CHARS} SELECT t AS token, round(1 / p, 4) AS perplexity FROM lm WHERE c = unicode('t')")
+def next_perplexities(spark, sf):
+    context = spark.createDataFrame([([ord("t")],)], "context array<int>")
+    return char_model(spark, sf).next_perplexities(context).select("token", F.round("perplexity", 4).alias("perplexity"))

@@ -154,3 +154,9 @@ def memorization_overlap(spark, sf):
     items = grams(read(spark, sf, "benchmark"), "item_id")
     shared = grams(read(spark, sf, "documents"), "doc_id").join(items, "g")
     return shared.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("g").alias("grams"))
+
+
+@query(r"""SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '[a-zA-Z0-9_]+')))::INT AS words FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\x00-\x7F]')""")
+def words_in_context(spark, sf):
+    plain = read(spark, sf, "conversations").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return plain.select("conv_id", "turn", F.size(an.words_in(F.col("text"))).alias("words"))

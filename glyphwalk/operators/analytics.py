@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphwalk.plans.pattern import java_full_match, parse, to_java
+from glyphwalk.plans.pattern import java_full_match, literal, parse, to_java
 
 # --- shares, dense tables, tests -----------------------------------------------------------------
 
@@ -176,6 +176,28 @@ def prompt_before(text: Column, pattern: str) -> Column:
     return F.when(at > 0, F.rtrim(F.substring(text, F.lit(1), at - 1)))
 
 
+def words_in(text: Column) -> Column:
+    """Distinct words of a text: runs of letters, digits and underscores."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)[\w]+"), F.lit(0)))
+
+
+def stop_word_pattern(prefix: str, words: list[str]) -> str:
+    """Pattern of answers that end in a stop word, to be excluded from a last-word query."""
+    return f"{literal(prefix)} ({'|'.join(map(literal, words))})((\\.)|(!)|(\\?))?(\")?"
+
+
+def end_of_prefix(pieces: Column, prefix: Column) -> Column:
+    """Index from 0 of the first token after the prefix: pieces before it spell the prefix."""
+    ends = F.transform(F.sequence(F.lit(0), F.size(pieces)), lambda i: F.length(F.array_join(F.slice(pieces, 1, i), "")))
+    return F.array_position(F.transform(ends, lambda n: n >= F.length(prefix)), True) - 1
+
+
+def named_length(name: Column) -> Column:
+    """Labels of baselines: a number n becomes 'baseline (n=..)', other names stay."""
+    n = name.try_cast("int")
+    return F.when(n.isNotNull(), F.concat(F.lit("baseline (n="), n.cast("string"), F.lit(")"))).otherwise(name)
+
+
 def only_in(a: Column, b: Column) -> Column:
     """Sorted characters of a that b lacks."""
     chars = lambda s: F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))

@@ -175,12 +175,31 @@ class LanguageModel:
         fine = (F.col("pos") < prefix_len) | (F.col("rank").isNotNull() & (F.lit(k is None) | (F.col("rank") <= F.lit(k or 0))))
         return scored.groupBy(key).agg(F.bool_and(fine).alias("possible"))
 
-    def sample(self, spark: SparkSession, n: int, max_len: int, seed: int = 0, prefix: list[int] = ()) -> DataFrame:
-        """(walker, tokens): n sequences drawn token by token, until the end mark or ``max_len``."""
+    def next_perplexities(self, contexts: DataFrame) -> DataFrame:
+        """(context, token, perplexity) of every possible next token."""
+        return self.after(contexts).select("context", "token", (1 / F.col("p")).alias("perplexity"))
+
+    def encodable(self, texts: DataFrame, encodings: DataFrame, k: int | None, text: str = "text") -> DataFrame:
+        """(text, tokens): the first encoding of each text whose tokens are all among the k likeliest; null if there is none.
+
+        encodings: (text, tokens), all of them or the canonical one only.
+        """
+        keyed = encodings.withColumn("id", F.struct(text, "tokens"))
+        fine = self.can_generate(keyed, k).where("possible").select(F.col("id")[text].alias(text), F.col("id.tokens").alias("tokens"))
+        first = fine.groupBy(text).agg(F.min(F.struct(F.size("tokens").alias("n"), "tokens")).alias("m")).select(text, "m.tokens")
+        return texts.select(text).distinct().join(first, text, "left")
+
+    def sample(self, spark: SparkSession, n: int, max_len: int, seed: int = 0, prefix: list[int] = (), repetition_penalty: float = 1.0) -> DataFrame:
+        """(walker, tokens): n sequences drawn token by token, until the end mark or ``max_len``.
+
+        repetition_penalty: tokens that a sequence already holds have their log probability multiplied by it.
+        """
         walkers = spark.range(n).select(F.col("id").alias("walker"), F.array(*[F.lit(t) for t in prefix]).cast("array<int>").alias("tokens"))
         done = []
         for depth in range(len(prefix), max_len):
             here = walkers.withColumn("context", self.context_of(F.col("tokens"))).join(self.rows, "context", "left")
+            if repetition_penalty != 1:
+                here = here.withColumn("p", F.when(F.array_contains("tokens", F.col("token")), F.pow("p", F.lit(repetition_penalty))).otherwise(F.col("p")))
             picked = pick(here, ["walker"], "token", "p", uniform(seed, F.col("walker"), depth))
             walkers = cut(picked.select("walker", F.when(F.col("token").isNull(), F.col("tokens")).otherwise(F.array_append("tokens", F.col("token"))).alias("tokens"), F.col("token").isNull().alias("stuck")))
             over = F.col("stuck") | (F.element_at("tokens", -1) == F.lit(self.eos if self.eos is not None else -(2**31)))
@@ -202,9 +221,3 @@ def pick(rows: DataFrame, key: list[str], token: str, weight: str, u: Column) ->
     drawn = rows.withColumn("__run", running).withColumn("__total", F.sum(weight).over(by)).withColumn("__u", u)
     kept = drawn.where((F.col("__run") > F.col("__u") * F.col("__total")) | F.col("__total").isNull())
     return kept.withColumn("__k", F.row_number().over(by.orderBy(token))).where("__k = 1").drop("__run", "__total", "__u", "__k")
-
-
-def uniform_weights(tokens: DataFrame) -> DataFrame:
-    """A model without memory in which all tokens are equally likely."""
-    n = tokens.count()
-    return tokens.select(F.array().cast("array<int>").alias("context"), "token", F.lit(1.0 / n).alias("p"))

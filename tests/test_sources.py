@@ -90,3 +90,20 @@ def test_small_analytics(spark):
     o, e = spark.createDataFrame([("a", 10), ("b", 20)], "k string, n long"), spark.createDataFrame([("a", 15), ("c", 5)], "k string, n long")
     r = an.chi_square(o, e, ["k"]).first()
     assert abs(r["statistic"] - (25 / 15 + 5)) < 1e-9 and r["df"] == 1 and 0 < r["p_value"] < 0.05
+
+
+def test_helpers_of_last_word_queries(spark):
+    pattern = an.stop_word_pattern("I like", ["it", "a.b"])
+    a = Automaton.of_pattern(pattern)
+    assert a.accepts("I like it.") and a.accepts('I like a.b!"') and not a.accepts("I like axb") and not a.accepts("I like its")
+    df = spark.createDataFrame([(["Th", "e", " m", "an"], "The", "16"), (["T"], "The", "greedy")], "p array<string>, t string, n string")
+    got = df.select(an.end_of_prefix(F.col("p"), F.col("t")), an.named_length(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [(2, "baseline (n=16)"), (-1, "greedy")]
+    assert Automaton.of_pattern("ab*").longest_match("abbc") == "abb" and Automaton.of_pattern("b").longest_match("a") is None
+    assert Automaton.of_pattern("ab").parents() == [set(), {0}, {1}]
+    model = LanguageModel.of_rows(spark, [([-1], 1, 0.5), ([-1], 2, 0.5), ([1], 1, 0.5), ([1], 2, 0.5), ([2], 1, 0.5), ([2], 2, 0.5)]).settled()
+    drawn = [list(r["tokens"]) for r in model.sample(spark, 60, 2, repetition_penalty=60.0).collect()]
+    assert len(drawn) == 60 and all(a != b for a, b in drawn)
+    texts = spark.createDataFrame([("x",), ("y",)], "text string")
+    enc = spark.createDataFrame([("x", [1, 2]), ("x", [2]), ("y", [3])], "text string, tokens array<int>")
+    assert {r["text"]: r["tokens"] for r in model.encodable(texts, enc, None).collect()} == {"x": [2], "y": None}
