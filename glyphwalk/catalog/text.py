@@ -86,11 +86,14 @@ def toxicity_rate(spark, sf):
     )
 
 
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 def _sql_normalized(column: str) -> str:
     out = column
-    for old, new in an.PLAIN.items():
+    for old, new in an.REPLACEMENTS:
         out = f"replace({out}, '{old.replace(chr(39), chr(39) * 2)}', '{new.replace(chr(39), chr(39) * 2)}')"
-    return f"chr(10) || trim({out}, ' ')"
+    return f"chr(10) || trim({out}, {SPACES})"
 
 
 @query(f"SELECT doc_id, md5({_sql_normalized('text')}) AS digest FROM documents WHERE text IS NOT NULL")
@@ -98,8 +101,8 @@ def text_normalize(spark, sf):
     return read(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(an.normalized(F.col("text"))).alias("digest"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_replace(l[-1], '[!-/:-@\[-`{-~]', '', 'g') AS last, md5(array_to_string(l[:-2], ' ')) AS context
-  FROM (SELECT conv_id, turn, string_split(rtrim(text, ' '), ' ') AS l FROM conversations WHERE text IS NOT NULL)""")
+@query(rf"""SELECT conv_id, turn, regexp_replace(l[-1], '[!-/:-@\[-`{{-~]', '', 'g') AS last, md5(array_to_string(l[:-2], ' ')) AS context
+  FROM (SELECT conv_id, turn, string_split(trim(text, {SPACES}), ' ') AS l FROM conversations WHERE text IS NOT NULL)""")
 def last_word_split(spark, sf):
     text = F.col("text")
     return read(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", an.bare(an.last_word(text)).alias("last"), F.md5(an.without_last_word(text)).alias("context"))

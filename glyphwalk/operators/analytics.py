@@ -127,24 +127,41 @@ def weighted_sample(df: DataFrame, weight: str, n: int, seed: int, key: str) ->
 
 # --- text ----------------------------------------------------------------------------------------
 
-#: Typographic characters and what stands for them.
-PLAIN = {"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", " ": " ", "\t": " ", "\r": "", " .": ".", " ,": ",", " !": "!", " ?": "?", "``": '"'}
+#: The replacements of the last-word corpus, made in this order.
+REPLACEMENTS = [
+    ("“", '"'),
+    ("”", '"'),
+    ("''", '"'),
+    ("``", '"'),
+    ("’", "'"),
+    ("‘", "'"),
+    ("–", "-"),
+    (" ,", ","),
+    (" .", "."),
+    ("é", "e"),
+    ("—", "-"),
+    ("\xa0", " "),
+    ("\u200a", ""),
+    ("…", "..."),
+    ("ñ", "n"),
+]
+SPACES = " \t\n\r\f\v"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
 def normalized(text: Column) -> Column:
     """Plain punctuation, trimmed, led by a line feed."""
-    for old, new in PLAIN.items():
+    for old, new in REPLACEMENTS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return F.concat(F.lit("\n"), F.trim(text))
+    return F.concat(F.lit("\n"), F.btrim(text, F.lit(SPACES)))
 
 
 def last_word(text: Column) -> Column:
-    return F.element_at(F.split(F.rtrim(text), " "), -1)
+    return F.element_at(F.split(F.btrim(text, F.lit(SPACES)), " "), -1)
 
 
 def without_last_word(text: Column) -> Column:
-    words = F.split(F.rtrim(text), " ")
+    words = F.split(F.btrim(text, F.lit(SPACES)), " ")
     return F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
 
 
