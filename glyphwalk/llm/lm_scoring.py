@@ -13,7 +13,7 @@ Distribution: texts are packed into blocks of about 12 MB that are written once.
 distinct (ORDER + 1)-grams and word hashes it needs, with its training counts, split into parts by
 a hash of the key and packed as differences of sorted keys. Parts are merged as a stream, so memory
 follows a part's distinct keys. The trie is evaluated where its parts meet: all contexts that share
-their last two bytes are one group, for which only the orders 0 and 1 are needed from outside
+their last two bytes meet in one group, for which only the orders 0 and 1 are needed from outside
 (65,536 counts at most). Each part then holds its costs against the blocks' requests, again as a
 stream, and sends values only: blocks know their own keys. Neither the trie nor any table that
 grows is broadcast or collected; what is gathered grows with the corpus. Costs travel as 32-bit
@@ -203,14 +203,14 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, size: int, parts: int
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "block long, kind byte, part int, keys binary, counts binary, n long, payload binary")
 
 
-def _merged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of counts by key; input is sorted by kind and part. Grams go on by their tail (the two bytes before the last)."""
+def _merged(batches_: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Sums of counts by key; input is sorted by kind and part. Grams go on by a hash of their tail (the two bytes before the last)."""
 
     def flush(kind: int, part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         if kind == WORD:
             cuts, names = [np.arange(len(keys))], [-1]
         else:
-            tail = (keys >> np.uint64(8)).astype(np.int64) & 65535
+            tail = (mix((keys >> np.uint64(8)) & np.uint64(65535)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(tail, kind="stable")
             names, first = np.unique(tail[order], return_index=True)
             cuts = np.split(order, first[1:])
@@ -222,7 +222,7 @@ def _merged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return keys, np.bincount(where, weights=np.concatenate([c for _, c in held]), minlength=len(keys)).astype(np.int64)
 
     now, held, total = None, [], 0
-    for batch in parts:
+    for batch in batches_:
         for row in batch.to_pylist():
             if (row["kind"], row["part"]) != now:
                 if held:
@@ -261,7 +261,7 @@ def evaluate(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = OR
     """log10 of the probability of the last byte of each gram, given those before it.
 
     keys: distinct grams of order + 1 bytes, big-endian, that include all of those of the training
-    texts with the same two bytes before the last; pairs: counts[256, 256] of (byte, next byte).
+    texts with the same two bytes before the last, for each such pair that occurs; pairs: counts[256, 256] of (byte, next byte).
     """
     grams: list = [None] * (order + 1)
     contexts: list = [None] * (order + 1)
@@ -328,7 +328,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     needs = blocked.where(F.col("kind") != PAYLOAD).select("block", "kind", "part", "keys", "counts")
     counts = cut(
         needs.select("kind", "part", "keys", "counts").repartition("kind", "part").sortWithinPartitions("kind", "part")
-        .mapInArrow(_merged, "kind byte, part int, tail int, keys binary, counts binary, n long, kinds long")
+        .mapInArrow(lambda b: _merged(b, parts), "kind byte, part int, tail int, keys binary, counts binary, n long, kinds long")
     )
     n_words, n_kinds = counts.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ends = blocked.where(F.col("kind") == PAYLOAD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphwalk.llm import audio, chaining, chat_format, chosen_path, decontaminate, lm_scoring, mixing, quality, suffix_dedup, url_filter
+from glyphwalk.plans.spread import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
