@@ -99,6 +99,10 @@ def test_repeated_rows_and_empty_tables(world, tmp_path):
     rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (1, "other text of the same id", "en", "s", 25), (None, "a b c d e f g", "en", None, 13), (2, "a b c d e f g", "en", "s", 13)]
     kept = sorted((r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, schema), path).collect())
     assert kept == [(1, "a b c d e f g"), (1, "other text of the same id")]
+    clash = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, i int, v int, size int, block int, kept int")
+    for _, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, clash, path).columns == clash.columns and stage(spark, clash, path).count() <= 5
+    assert len(set(c := pipeline.source_mixing(spark, clash, path).columns)) == len(c)
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
