@@ -88,11 +88,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
         labels.select(F.col("doc_id").cast("long").alias("i"), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
         .where("i is not null and good is not null")
         .groupBy("i").agg(F.min("good").alias("good"))
-        .orderBy(F.xxhash64("i"), "i").limit(max_labels).toPandas().sort_values("i")
+        .orderBy(F.xxhash64("i"), "i").limit(max_labels).toArrow().sort_by("i")
     )
-    if chosen.empty:
+    if not chosen.num_rows:
         return np.zeros(1 << (BITS + 2), np.float32), None
-    ids, good = chosen["i"].to_numpy(np.int64), chosen["good"].to_numpy(bool)
+    ids, good = chosen["i"].to_numpy(), chosen["good"].to_numpy()
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << (BITS + 2), np.int64), np.zeros(1 << (BITS + 2), np.int64)
@@ -114,15 +114,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
 
     counted = (
         docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-        .join(F.broadcast(docs.sparkSession.createDataFrame(chosen[["i"]], "i long")), "i", "left_semi")  # at most max_labels rows
+        .join(F.broadcast(docs.sparkSession.createDataFrame(chosen.select(["i"]))), "i", "left_semi")  # at most max_labels rows
         .mapInArrow(count, "bucket long, raw long, target long")
-        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     )
     raw, target = np.zeros(1 << (BITS + 2)), np.zeros(1 << (BITS + 2))
-    total = counted[counted["bucket"] < 0]
-    rest = counted[counted["bucket"] >= 0]
-    raw[rest["bucket"]], target[rest["bucket"]] = rest["raw"], rest["target"]
-    n, m = (float(total["raw"].sum()), float(total["target"].sum()))
+    bucket, all_raw, all_target = (counted[c].to_numpy() for c in ("bucket", "raw", "target"))
+    n, m = float(all_raw[bucket < 0].sum()), float(all_target[bucket < 0].sum())
+    raw[bucket[bucket >= 0]], target[bucket[bucket >= 0]] = all_raw[bucket >= 0], all_target[bucket >= 0]
+    del counted, bucket, all_raw, all_target
+    trim()
     share = float(good.mean())
     if not n:
         return np.zeros(1 << (BITS + 2), np.float32), share
