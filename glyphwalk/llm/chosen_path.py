@@ -35,7 +35,7 @@ from glyphwalk.plans.components import connected_components
 from glyphwalk.plans.cut import cut, drop_cut
 
 DEPTH, TREES, ROUNDS = 4, 24, ((0, 3), (3, 10), (10, 24))
-#: A node is compared exhaustively up to so many sets and shingles; MAX_DEPTH ends branching.
+#: A node is compared exhaustively up to so many sets and shingles, one of two sets always; MAX_DEPTH ends branching.
 NODE_SETS, NODE_SHINGLES, MAX_DEPTH = 1500, 4_000_000, 24
 SEEDS = mix(np.arange(1, TREES + 1, dtype=U) * U(0xA24BAED4963EE407))
 STEP = U(0x9FB21C651E98DF25)
@@ -188,7 +188,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         depth, done = DEPTH, []
         while True:
             sized = now.join(_nodes(now), ["tree", "node"])
-            small = (F.col("sets") <= NODE_SETS) & (F.col("shingles") <= NODE_SHINGLES)
+            small = (F.col("sets") == 2) | (F.col("sets") <= NODE_SETS) & (F.col("shingles") <= NODE_SHINGLES)
             large = sized.where(~small)
             if large.isEmpty():
                 done.append(cut(_compare(sized, percent)))

@@ -70,3 +70,12 @@ def test_edges(spark):
 def test_null_ids(spark):
     got = cp.components(spark.createDataFrame([(None, "a b c d", 1, ""), (3, "a b c d", 1, ""), (None, "q r s t", 1, "")], SCHEMA)).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (0, 3, False), (3, 3, True)]
+
+
+def test_two_sets_are_compared_whatever_their_size(spark, monkeypatch):
+    monkeypatch.setattr(cp, "NODE_SHINGLES", 10)
+    rows = []
+    for g in range(12):
+        words = [f"w{g}_{i}" for i in range(200)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join("Zz" if i % 40 == 20 else w for i, w in enumerate(words)))]
+    assert run(spark, rows) == brute(rows)
