@@ -1,27 +1,39 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Each document is its set of word shingles. Equal sets are one class from the start and travel as
-their smallest id. A tree branches the classes: at each node every set moves to the child of its
-minwise token under a hash seeded by the node's path, so two sets part with probability 1 - J per
-level. Nodes of depth ``DEPTH`` that are small are compared exhaustively on the full sets; larger
-ones branch further. ``TREES`` independent trees make the probability to miss a link at J = 0.85
-about (1 - 0.85**4)**24 = 2e-8 in a node that needs no further branching, and 1e-5 at depth 6.
+Each document is its set of word shingles. Rows with equal sets are one class, known by the set's
+digest. A tree branches the classes: at each node every set moves to the child of its minwise token
+under a hash seeded by the node's path, so two sets part with probability 1 - J per level. Nodes of
+depth ``DEPTH`` that are small are compared exhaustively on the full sets. ``TREES`` independent
+trees make the probability to miss a link there (1 - J**4)**24: 2e-8 at J = 0.85, 3e-6 at J = 0.80.
+
+Larger nodes go on, and recall is held all the way down:
+
+1. Random parts of a node are compared, so that what is alike becomes one component.
+2. If few sets are left outside the largest component, they are compared with all of the node, in
+   blocks: exact, and linear in the node.
+3. Otherwise every set goes to ``FAN`` children by independent seeds for every two levels. A linked
+   pair then has 2 J**2 > 1 common children on average and stays together in some branch with the
+   probability that ``survival`` gives, whatever the depth: misses by chance stay below 2e-4.
+4. At ``MAX_DEPTH`` what is left is compared as in 2, in as many blocks as it takes.
 
 Rounds of trees: after each, links become components, and a node of a later tree is only looked
 at if it still holds two components. Large groups of near copies are therefore compared once or
 twice, and only the spanning links of a node leave it: no pairs of a group are written. Links are
 confirmed on full sets (64-bit shingle hashes), with integers: 100 * common >= percent * union.
 
+Rows that share an id and differ in text are judged apart; the smallest id of a component names it.
 Null ids are never representatives: such a row gets the component of its class, and stays alone
 (component null, kept) if no row of the class has an id. Null, empty and blank texts have the
-empty set, which links with nothing. Repeated rows are rows of one class. An empty table gives an
-empty result. Other columns are not read.
+empty set, which links with nothing. Repeated rows are rows of one class. Long texts are read a
+megabyte at a time; their sets are never cut. An empty table gives an empty result. Columns that are not
+named in ``carry`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +48,19 @@ from glyphwalk.plans.cut import cut, drop_cut
 
 DEPTH, TREES, ROUNDS = 4, 24, ((0, 3), (3, 10), (10, 24))
 #: A node is compared exhaustively up to so many sets and shingles, one of two sets always; MAX_DEPTH ends branching.
-NODE_SETS, NODE_SHINGLES, MAX_DEPTH = 1500, 4_000_000, 24
+NODE_SETS, NODE_SHINGLES, MAX_DEPTH, FAN = 1500, 4_000_000, 12, 2
 SEEDS = mix(np.arange(1, TREES + 1, dtype=U) * U(0xA24BAED4963EE407))
 STEP = U(0x9FB21C651E98DF25)
 
 
+def survival(j: float, depth: int, trees: int = TREES) -> float:
+    """Probability that sets of similarity ``j`` share a node of ``depth`` in some tree."""
+    together = 1.0
+    for _ in range((depth - DEPTH) // 2):
+        together = 1 - (1 - j**2 * together) ** FAN
+    return 1 - (1 - j**DEPTH * together) ** trees
+
+
 def shingle_sets(texts: list, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than k words are one shingle."""
     for piece in batches([len(t or "") for t in texts], 1 << 20):
@@ -120,32 +140,68 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(["id long, n long, digest binary, paths array<long>", *[f"`{c}` {kinds[c]}" for c in carry]]))
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """(cls, tokens) of (cls, t), each class once a task."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in parts:
-            found = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["rep", "tokens"])
-            del found
+            found: dict[int, int] = {c: i for i, c in enumerate(part.column(0).to_pylist()) if c not in seen}
+            seen.update(found)
+            tokens = [s.tobytes() for s in shingle_sets(part.column(1).take(pa.array(list(found.values()), pa.int64())).to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(tokens, pa.binary())], ["cls", "tokens"])
+            del tokens
             trim()
 
-    return docs.mapInArrow(run, "rep long, tokens binary")
+    return texts.mapInArrow(run, "cls long, tokens binary")
 
 
 def _branch(members: DataFrame, levels: int) -> DataFrame:
+    """Every set in ``FAN`` children, by independent seeds, so many levels below its node."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            node = part["node"].to_numpy().view(U)
-            deeper = [descend(np.frombuffer(t.as_py(), U), node[i : i + 1], levels)[0] for i, t in enumerate(part["tokens"])]
-            columns = [pa.array(np.array(deeper, U).view(np.int64)) if c == "node" else part[c] for c in part.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+            seeds = mix(part["node"].to_numpy().view(U)[:, None] + np.arange(1, FAN + 1, dtype=U) * U(0xA24BAED4963EE407))
+            deeper = [descend(np.frombuffer(t.as_py(), U), seeds[i], levels) for i, t in enumerate(part["tokens"])]
+            deeper = np.array(deeper, U).reshape(-1, FAN).view(np.int64)
+            for child in range(FAN):
+                columns = [pa.array(deeper[:, child]) if c == "node" else part[c] for c in part.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
     return members.mapInArrow(run, members.schema)
 
 
+def _random_parts(sized: DataFrame) -> DataFrame:
+    """Large nodes dealt into random nodes of bounded size."""
+    share = F.ceil(F.greatest(F.col("sets") / NODE_SETS, F.col("shingles") / NODE_SHINGLES))
+    return sized.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("tree", "cls"), share)))
+
+
+def _minor(members: DataFrame) -> DataFrame:
+    """Per node with two components: its main one, into how many pieces its sets are dealt, and into how many those outside the main one."""
+    each = members.groupBy("tree", "node", "component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    top = F.max(F.struct("sets", "shingles", "component"))
+    nodes = each.groupBy("tree", "node").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles"), top.alias("top"), F.count(F.lit(1)).alias("c"))
+    pieces = lambda sets, shingles: F.ceil(F.greatest(2 * sets / NODE_SETS, 2 * shingles / NODE_SHINGLES)).cast("long")
+    return nodes.where("c > 1").select(
+        "tree", "node", F.col("top.component").alias("main"), pieces(F.col("sets"), F.col("shingles")).alias("pieces"),
+        pieces(F.col("sets") - F.col("top.sets"), F.col("shingles") - F.col("top.shingles")).alias("others"),
+    )
+
+
+def _crossed(members: DataFrame) -> DataFrame:
+    """Nodes of one piece of the sets and one of those outside the main component, for every pair of pieces."""
+    piece, other = F.pmod(F.xxhash64("cls"), F.col("pieces")), F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("others"))
+    row = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: piece * F.col("others") + j)
+    column = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda i: i * F.col("others") + other)
+    cells = F.when(F.col("component") == F.col("main"), row).otherwise(F.array_distinct(F.concat(row, column)))
+    return members.withColumn("cell", F.explode(cells)).withColumn("node", F.xxhash64("node", "cell"))
+
+
 def _compare(members: DataFrame, percent: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node in runs(parts, ["tree", "node"]):
-            ids = node["rep"].to_numpy()
+            ids = node["cls"].to_numpy()
             if len(ids) > 1:
                 links = link_sets([np.frombuffer(t.as_py(), U) for t in node["tokens"]], percent)
                 if links:
@@ -155,7 +211,7 @@ def _compare(members: DataFrame, percent: int) -> DataFrame:
                 del node
                 trim()
 
-    dealt = members.select("tree", "node", "rep", "tokens").repartition("tree", "node").sortWithinPartitions("tree", "node")
+    dealt = members.select("tree", "node", "cls", "tokens").repartition("tree", "node").sortWithinPartitions("tree", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -165,26 +221,41 @@ def _nodes(members: DataFrame) -> DataFrame:
     return found.where("lo <> hi").select("tree", "node", "sets", "shingles")
 
 
+def _merged(found: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """Components of what was found and new links; what was found is a star for each component, so little is left to do."""
+    known = found.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+    after = cut(connected_components(reduce(DataFrame.unionByName, links, known)))
+    for table in (found, *links):
+        drop_cut(table)
+    return after
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with their component as it is now."""
+    rest = [c for c in members.columns if c != "component"]
+    return members.select(*rest).join(found, F.col("cls") == F.col("vertex"), "left").select(*rest, F.coalesce("component", "cls").alias("component"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row, and the columns ``carry`` as they are."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *carry)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("__tv"), *carry)
     profiles = cut(_profiles(texts, k))
     classes = cut(
         profiles.where("n > 0 and id is not null").groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("paths").alias("paths"))
+        .agg(F.min(F.struct("id", "__tv")).alias("of"), F.first("n").alias("n"), F.first("paths").alias("paths"))
+        .select(F.monotonically_increasing_id().alias("cls"), F.col("of.id").alias("rep"), F.col("of.__tv").alias("version"), "digest", "n", "paths")
     )
-    spread = classes.select("rep", "n", F.posexplode("paths").alias("tree", "node"))
+    spread = classes.select("cls", "n", F.posexplode("paths").alias("tree", "node"))
     crowded = spread.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     members = cut(spread.join(crowded, ["tree", "node"]))
-    wanted = members.select("rep").distinct()
-    sets = cut(_sets(texts.join(wanted, texts["id"] == wanted["rep"], "left_semi"), k).dropDuplicates(["rep"]))
-    links = spark.createDataFrame([], "a long, b long")
+    # The text of a class is that of its smallest id, of one version if the id has several.
+    wanted = classes.join(members.select("cls").distinct(), "cls").select("cls", "rep", "version")
+    sets = cut(_sets(texts.join(wanted, (F.col("id") == F.col("rep")) & (F.col("__tv") == F.col("version"))).select("cls", "t"), k).dropDuplicates(["cls"]))
     found = spark.createDataFrame([], "vertex long, component long")
     for begin, end in ROUNDS:
-        now = members.where(F.col("tree").between(begin, end - 1)).join(found, F.col("rep") == F.col("vertex"), "left")
-        now = now.select("tree", "node", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        now = cut(now.join(_nodes(now).select("tree", "node"), ["tree", "node"]).join(sets, "rep"))
+        now = _labelled(members.where(F.col("tree").between(begin, end - 1)), found)
+        now = cut(now.join(_nodes(now).select("tree", "node"), ["tree", "node"]).join(sets, "cls"))
         depth, done = DEPTH, []
         while True:
             sized = now.join(_nodes(now), ["tree", "node"])
@@ -193,21 +264,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if large.isEmpty():
                 done.append(cut(_compare(sized, percent)))
                 break
-            if depth >= MAX_DEPTH:
-                # Sets that so many tokens can't part: compared in random parts of a node's size, others in every tree.
-                share = F.ceil(F.greatest(F.col("sets") / NODE_SETS, F.col("shingles") / NODE_SHINGLES))
-                part = F.when(small, F.lit(0)).otherwise(F.pmod(F.xxhash64("tree", "rep"), share))
-                done.append(cut(_compare(sized.withColumn("node", F.xxhash64("node", part)), percent)))
-                break
             done.append(cut(_compare(sized.where(small), percent)))
-            now = cut(_branch(large.select(*now.columns), 2))
+            found, done = _merged(found, [*done, cut(_compare(_random_parts(large), percent))]), []
+            large = cut(_labelled(large.drop("sets", "shingles"), found))
+            drop_cut(now)
+            nodes = cut(_minor(large).withColumn("last", (F.col("others") <= 1) | F.lit(depth >= MAX_DEPTH)))
+            done.append(cut(_compare(_crossed(large.join(nodes.where("last"), ["tree", "node"])), percent)))
+            now = cut(_branch(large.join(nodes.where("not last").select("tree", "node"), ["tree", "node"]).select(*large.columns), 2))
+            drop_cut(large)
             depth += 2
-        for d in done:
-            links = links.unionByName(d)
+        found = _merged(found, done)
         drop_cut(now)
-        found = cut(connected_components(links))
-    kept = found.withColumnRenamed("component", "c")
-    of_class = classes.join(kept, F.col("rep") == F.col("vertex"), "left").select("digest", F.coalesce("c", "rep").alias("component_id"))
+    named = classes.join(found, F.col("cls") == F.col("vertex")).groupBy("component").agg(F.min("rep").alias("least"))
+    kept = found.join(named, "component").select("vertex", "least")
+    of_class = classes.join(kept, F.col("cls") == F.col("vertex"), "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
     return (
         profiles.join(of_class.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
         .select(

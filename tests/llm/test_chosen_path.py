@@ -61,6 +61,47 @@ def test_branching_of_large_nodes(spark, monkeypatch):
     assert run(spark, rows, k=5, percent=80) == brute(rows, 5, 80)
 
 
+def templated(seed, n, pairs):
+    """Pages of one template that are alike to about 0.7, a few of them with a near copy."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        own = [f"own{i}_{x}" for x in range(14)]
+        page = [f"t{x}" for x in range(90)] + own + [f"s{x}" for x in range(10)]
+        rows.append((2 * i, " ".join(page)))
+        if i < pairs:
+            page[r.randrange(95, 100)] = "Zz"
+            rows.append((2 * i + 1, " ".join(page)))
+    return rows
+
+
+@pytest.mark.parametrize("last", [4, 6])
+def test_large_nodes_of_unlinked_sets(spark, monkeypatch, last):
+    monkeypatch.setattr(cp, "NODE_SETS", 8)
+    monkeypatch.setattr(cp, "MAX_DEPTH", last)
+    rows = templated(5, 24, 8)
+    want = brute(rows)
+    assert run(spark, rows) == want and len({c for _, _, c, _ in want}) == 24
+
+
+def test_recall_at_every_depth():
+    for j in (0.80, 0.85):
+        assert min(cp.survival(j, d) for d in range(cp.DEPTH, cp.MAX_DEPTH + 1, 2)) > 0.9998
+
+
+def test_ids_with_several_texts(spark):
+    rows = []
+    for i in range(20):
+        for version in "ab":
+            words = [f"{version}{i}_{x}" for x in range(60)]
+            rows.append((i, " ".join(words)))
+            words[59] = "other"
+            rows.append((100 + 2 * i + (version == "b"), " ".join(words)))
+    want = {100 + n: n // 2 for n in range(40)} | {i: i for i in range(20)}
+    got = run(spark, rows)
+    assert len(got) == 80 and all(c == want[d] for d, _, c, _ in got)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one  TWO"), (6, "x " * 3000), (6, "x " * 3000), (7, "é")]
     assert run(spark, rows) == brute(rows)
