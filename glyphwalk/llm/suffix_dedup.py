@@ -2,21 +2,27 @@
 
 Sampling without loss. A window of WINDOW bytes is owned by the leftmost of its smallest GRAM-byte
 hashes, its anchor; equal windows have equal anchors at the same offset, so only windows whose
-anchors have equal grams can be equal. One anchor owns about 80 windows in a row.
-
-1. Texts are packed into blocks, written once. Blocks list (gram, context) of their anchors, where
-   the context is the hash of all the bytes under the windows that the anchor owns.
-2. A context that occurs twice is repeated as a whole. A gram with one context is not repeated. Only
-   grams with several contexts, one of them single, are looked at: one copy of each context is sent.
-3. Per gram, the suffixes at the anchors' windows are sorted by a mergesort that compares suffixes
-   by their longest common extension, found by binary search over prefix polynomial hashes;
-   neighbours that agree on WINDOW bytes are verified byte by byte. Suffixes of different offsets
-   from the anchor can't agree, so each offset is a sort of its own. Grams with more than
-   GROUP contexts are spread as rows of 128-bit window hashes instead and counted by key.
-4. Blocks get the answers and cut their texts.
-
-A block is the unit of memory (about 16 MB of text); no gram's contexts meet in one task beyond
-GROUP of them. Null text is empty; repeated rows are texts that repeat each other.
+anchors have equal grams can be equal. One anchor owns about 80 windows in a row; the bytes under
+them are its context.
+
+1. Texts are packed into blocks, written once. Blocks list (gram, context) of their anchors, contexts
+   by a polynomial hash and a cryptographic one of their bytes, 128 bits together.
+2. A context that occurs twice is repeated as a whole; copies need no sort. A gram with one context is
+   not repeated. Of grams with several contexts, one of them single, one copy of each context is sent.
+3. Per gram, suffixes are sorted by a mergesort that compares them by their longest common
+   extension, found by binary search over prefix polynomial hashes. First the suffixes at the anchors
+   and, backwards, those before them: a window is a candidate if its bytes on each side of the anchor
+   are within what the neighbours share. Then the suffixes at the candidates, an offset from the anchor
+   at a time. Neighbours that share WINDOW bytes are repeated.
+4. Every sort is verified: neighbours are compared byte by byte, which gives their true common
+   length and proves the order. Where a hash collision misled the sort, it is done again on the bytes.
+5. Grams with more than GROUP contexts are spread by the bytes of each window instead and counted.
+6. Blocks get the answers and cut their texts.
+
+A block is the unit of memory (about 16 MB of text, or one longer text); no gram's contexts meet in one
+task beyond GROUP of them. Null text is empty; repeated rows are texts that repeat each other; rows
+that share an id are texts of their own. An empty table gives an empty result. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +41,17 @@ from glyphwalk.llm._runs import runs
 from glyphwalk.llm._text import U, batches, join_texts, mix, prefix_hashes, range_hashes, sliding_least
 from glyphwalk.plans.cut import cut
 
-WINDOW, GRAM, GROUP, BLOCK = 200, 40, 4096, 16 << 20
+WINDOW, GRAM, GROUP, BLOCK = 200, 40, 1024, 16 << 20
+
+
+SALTS = [i.to_bytes(2, "little") for i in range(WINDOW)]
+
+
+def checks_of(raw: bytes, first: np.ndarray, last: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Cryptographic hashes of contexts: their bytes and the anchor's place in them."""
+    new = hashlib.blake2b
+    found = [new(raw[a : b + WINDOW], digest_size=8, salt=SALTS[x]).digest() for a, b, x in zip(first.tolist(), last.tolist(), lead.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), U)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM):
@@ -64,21 +80,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
     return anchor, first, last, grams, mix(context * U(0x9E3779B97F4A7C15) + (anchor - first).astype(U) + grams), prefix
 
 
-def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int | np.ndarray) -> np.ndarray:
     """Length up to ``limit`` of the longest common extension of positions a and b, by binary search."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), limit)
-    for _ in range(int(limit).bit_length()):
+    low, high = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64) + limit
+    for _ in range(int(np.max(limit, initial=0)).bit_length()):
         middle = (low + high + 1) >> 1
         same = range_hashes(prefix, a, a + middle) == range_hashes(prefix, b, b + middle)
         low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
     return low
 
 
-def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: np.ndarray, limit: int) -> np.ndarray:
-    """Order of the suffixes ``at`` within each segment (adjacent, equal numbers), by their first ``limit`` bytes.
+def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Order of the suffixes ``at``, each of so many bytes, within each segment (adjacent, equal numbers); of equal beginnings the shorter is first.
 
     Bottom-up mergesort of all segments together: every suffix finds its place in the neighbouring
-    run by binary search, and a comparison takes log2(limit) hash probes and one byte.
+    run by binary search, and a comparison takes log2(length) hash probes and one byte.
     """
     n = len(at)
     order = np.arange(n)
@@ -88,10 +104,11 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: n
     local = np.arange(n) - start
 
     def less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        common = common_extension(prefix, x, y, limit)
-        apart = common < limit
-        out = np.zeros(len(x), bool)
-        out[apart] = data[x[apart] + common[apart]] < data[y[apart] + common[apart]]
+        shorter = np.minimum(length[x], length[y])
+        common = common_extension(prefix, at[x], at[y], shorter)
+        out = length[x] < length[y]
+        apart = common < shorter
+        out[apart] = data[at[x[apart]] + common[apart]] < data[at[y[apart]] + common[apart]]
         return out
 
     run = 1
@@ -102,7 +119,7 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: n
         first = low.copy()
         while (live := np.flatnonzero(low < stop)).size:
             middle = (low[live] + stop[live]) // 2
-            mine, theirs = at[order[live]], at[order[middle]]
+            mine, theirs = order[live], order[middle]
             # Left elements count smaller ones on the right; right ones count those not larger on the left.
             go = np.where(odd[live], ~less(mine, theirs), less(theirs, mine))
             low[live[go]] = middle[go] + 1
@@ -116,39 +133,67 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: n
     return order
 
 
-def repeated_windows(contexts: list[bytes], leads: np.ndarray, groups: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(data: np.ndarray, at: np.ndarray, length: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """True common length of each suffix in order with the one before it, compared byte by byte, and whether the two are in order."""
+    common, right = np.zeros(len(order), np.int64), np.ones(len(order), bool)
+    for part in np.array_split(np.arange(1, len(order)), max(1, len(order) // 20_000)):
+        if not len(part):
+            continue
+        a, b = order[part - 1], order[part]
+        shorter = np.minimum(length[a], length[b])
+        step = np.arange(max(1, int(shorter.max())))
+        x, y = (data[np.minimum(at[i][:, None] + step, len(data) - 1)] for i in (a, b))
+        differ = (x != y) | (step >= shorter[:, None])
+        n = np.where(differ.any(1), differ.argmax(1), shorter)
+        common[part] = n
+        inside = n < shorter
+        rows, column = np.arange(len(part)), np.minimum(n, len(step) - 1)
+        right[part] = np.where(inside, x[rows, column] < y[rows, column], length[a] <= length[b])
+    return common, right
+
+
+def sorted_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Verified order of the suffixes within each segment, and the bytes that each shares with its better neighbour there."""
+    order = suffix_sort(data, prefix, at, segment, length)
+    common, right = neighbours(data, at, length, order)
+    if not len(order):
+        return order, common
+    new = np.concatenate([[True], segment[1:] != segment[:-1]])
+    wrong = np.unique(segment[~(right | new)])
+    if len(wrong):
+        raw = data.tobytes()
+        for s in wrong:  # a hash collision
+            own = np.flatnonzero(segment == s)
+            order[own] = sorted(own.tolist(), key=lambda i: raw[at[i] : at[i] + length[i]])
+        common, _ = neighbours(data, at, length, order)
+    common[new] = 0
+    best = np.empty(len(order), np.int64)
+    best[order] = np.maximum(common, np.append(common[1:], 0))
+    return order, best
+
+
+def repeated_windows(contexts: list[bytes], leads: np.ndarray, groups: np.ndarray, window: int = WINDOW, hashed=prefix_hashes) -> tuple[np.ndarray, np.ndarray]:
     """(context, offset from the anchor) of windows that occur in two contexts of a group.
 
-    leads: bytes before the anchor; groups: equal numbers for equal grams.
+    leads: bytes before the anchor; groups: equal numbers for equal grams, adjacent.
     """
     data = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) for c in contexts])
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    count = sizes - window + 1
+    anchor = np.cumsum(sizes) - sizes + leads
+    groups = np.cumsum(np.concatenate([[0], groups[1:] != groups[:-1]])) if len(groups) else groups
+    prefix = hashed(data)
+    _, ahead = sorted_suffixes(data, prefix, anchor, groups, np.minimum(window, sizes - leads))
+    back = np.ascontiguousarray(data[::-1])
+    _, behind = sorted_suffixes(back, hashed(back), len(data) - anchor, groups, np.minimum(window, leads))
+    # Windows of which both sides of the anchor are found elsewhere, if not together.
+    low, high = np.maximum(leads - (sizes - window), window - ahead), np.minimum(leads, behind)
+    count = np.maximum(0, high - low + 1)
     which = np.repeat(np.arange(len(contexts)), count)
-    at = base[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    lead = leads[which] - (at - base[which])
-    prefix = prefix_hashes(data)
-    # Windows whose hash is unique at their offset are unequal to all others; they need no sort.
-    key = mix(groups[which].astype(U) * U(0x9E3779B97F4A7C15) + lead.astype(U))
-    whole = mix(range_hashes(prefix, at, at + window) + key)
-    by = np.argsort(whole, kind="stable")
-    twin = np.zeros(len(by), bool)
-    same = whole[by][1:] == whole[by][:-1]
-    twin[by[1:][same]] = True
-    twin[by[:-1][same]] = True
-    which, at, lead, key = which[twin], at[twin], lead[twin], key[twin]
-    by = np.lexsort((at, key))
-    which, at, lead, key = which[by], at[by], lead[by], key[by]
-    order = suffix_sort(data, prefix, at, key, window)
-    a, b = order[:-1], order[1:]
-    near = np.flatnonzero((key[a] == key[b]) & (range_hashes(prefix, at[a], at[a] + window) == range_hashes(prefix, at[b], at[b] + window)))
-    hit = np.zeros(len(at), bool)
-    for part in np.array_split(near, max(1, len(near) // 20_000)):
-        step = np.arange(window)
-        equal = (data[at[a[part]][:, None] + step] == data[at[b[part]][:, None] + step]).all(1)
-        hit[a[part][equal]] = True
-        hit[b[part][equal]] = True
+    lead = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
+    by = np.lexsort((which, lead, groups[which]))
+    which, lead = which[by], lead[by]
+    _, best = sorted_suffixes(data, prefix, anchor[which] - lead, groups[which] * np.int64(window) + lead, np.full(len(which), window))
+    hit = best >= window
     return which[hit], lead[hit]
 
 
@@ -173,19 +218,22 @@ def _scan(texts: list):
 
 
 def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    names = ["block", "kind", "gram", "context", "n", "payload"]
+    names = ["block", "kind", "gram", "context", "check", "n", "payload"]
 
     def block(ids: pa.Array, texts: list) -> Iterator[pa.RecordBatch]:
         name = uuid.uuid4().int >> 65
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_pack(ids, texts)], pa.binary())], names)
-        found = [(g, c) for _, _, _, (_, _, _, g, c, _) in _scan(texts)]
-        grams, contexts = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, U) for i in (0, 1))
-        contexts, at, n = np.unique(contexts, return_index=True, return_counts=True)
-        grams = grams[at]
-        for b in range(0, len(grams), 1 << 16):
-            part = slice(b, b + (1 << 16))
-            k = len(grams[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name)), pa.array(np.zeros(k, np.int8)), pa.array(grams[part].view(np.int64)), pa.array(contexts[part].view(np.int64)), pa.array(n[part]), pa.nulls(k, pa.binary())], names)
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int8()), none, none, none, none, pa.array([_pack(ids, texts)], pa.binary())], names)
+        found = [(g, c, checks_of(data.tobytes(), first, last, anchor - first)) for _, data, _, (anchor, first, last, g, c, _) in _scan(texts)]
+        grams, contexts, checks = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, U) for i in range(3))
+        order = np.lexsort((checks, contexts))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(contexts[order]) != 0) | (np.diff(checks[order]) != 0)])) if len(order) else order
+        n, at = np.diff(np.append(new, len(order))), order[new]
+        for b in range(0, len(at), 1 << 16):
+            part = at[b : b + (1 << 16)]
+            k = len(part)
+            columns = [x[part].view(np.int64) for x in (grams, contexts, checks)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name)), pa.array(np.zeros(k, np.int8)), *map(pa.array, columns), pa.array(n[b : b + (1 << 16)]), pa.nulls(k, pa.binary())], names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
@@ -202,40 +250,57 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
         if texts:
             yield from block(pa.concat_arrays(ids), texts)
 
-    return docs.mapInArrow(run, "block long, kind byte, gram long, context long, n long, payload binary")
+    return docs.mapInArrow(run, "block long, kind byte, gram long, context long, check long, n long, payload binary")
+
 
+class _Wanted:
+    """Contexts by both hashes, as columns ``context`` and ``check`` of a table."""
 
-def _find(wanted: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key, where it is in the sorted ``wanted`` and whether it is there."""
-    if not len(wanted):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-    return at, wanted[at] == keys
+    def __init__(self, table: pa.Table):
+        context, check = (table[c].to_numpy().view(U) for c in ("context", "check"))
+        self.by = np.lexsort((check, context))
+        self.context, self.check = context[self.by], check[self.by]
+
+    def find(self, raw: bytes, contexts: np.ndarray, first: np.ndarray, last: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the contexts that are wanted, and where each is."""
+        if not len(self.context):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.context, contexts), len(self.context) - 1)
+        hit = np.flatnonzero(self.context[at] == contexts)
+        at, check = at[hit], checks_of(raw, first[hit], last[hit], lead[hit])
+        while (bad := self.check[at] != check).any():  # contexts of one polynomial hash
+            after = np.minimum(at + 1, len(self.context) - 1)
+            keep = ~bad | ((after > at) & (self.context[after] == self.context[at]))
+            at = np.where(bad, after, at)[keep]
+            hit, check = hit[keep], check[keep]
+        return hit, at
 
 
 def _send(payload: pa.Table, asked: pa.Table) -> pa.Table:
-    """One copy of each context that a block is asked for: its bytes, or the hashes of its windows if hot."""
+    """One copy of each context that a block is asked for: its bytes, or those of each window if hot."""
     _, texts = _unpack(payload["payload"])
-    by = np.argsort(asked["context"].to_numpy().view(U))
-    wanted, hot = asked["context"].to_numpy().view(U)[by], asked["hot"].to_numpy(zero_copy_only=False)[by]
-    open_ = np.ones(len(wanted), bool)
+    wanted = _Wanted(asked)
+    hot = asked["hot"].to_numpy(zero_copy_only=False)[wanted.by]
+    open_ = np.ones(len(hot), bool)
     out: list[pa.Table] = []
-    schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("lead", pa.int32()), ("bytes", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
-    for _, data, _, (anchor, first, last, grams, contexts, prefix) in _scan(texts) if len(wanted) else ():
-        at, ok = _find(wanted, contexts)
-        pick = np.flatnonzero(ok)
-        pick = pick[np.unique(at[pick], return_index=True)[1]]
-        pick = pick[open_[at[pick]]]
-        open_[at[pick]] = False
+    schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("check", pa.int64()), ("lead", pa.int32()), ("hot", pa.bool_()), ("bytes", pa.binary())])
+
+    def add(i: np.ndarray, at: np.ndarray, grams: np.ndarray, lead: np.ndarray, raw: list[bytes]) -> None:
+        kinds = [grams[i].view(np.int64), wanted.context[at].view(np.int64), wanted.check[at].view(np.int64), lead.astype(np.int32), hot[at]]
+        out.append(pa.table([*map(pa.array, kinds), pa.array(raw, pa.binary())], schema=schema))
+
+    for _, data, _, (anchor, first, last, grams, contexts, _) in _scan(texts) if len(hot) else ():
         raw = data.tobytes()
-        cold, warm = pick[~hot[at[pick]]], pick[hot[at[pick]]]
+        pick, at = wanted.find(raw, contexts, first, last, anchor - first)
+        new = np.unique(at, return_index=True)[1]
+        pick, at = pick[new][open_[at[new]]], at[new][open_[at[new]]]
+        open_[at] = False
+        cold, warm = pick[~hot[at]], pick[hot[at]]
         if len(cold):
-            out.append(pa.table([pa.array(grams[cold].view(np.int64)), pa.array(contexts[cold].view(np.int64)), pa.array((anchor - first)[cold].astype(np.int32)), pa.array([raw[a : b + WINDOW] for a, b in zip(first[cold], last[cold], strict=True)], pa.binary()), pa.nulls(len(cold), pa.int64()), pa.nulls(len(cold), pa.int64())], schema=schema))
-        for i in warm:
+            add(cold, at[~hot[at]], grams, (anchor - first)[cold], [raw[a : b + WINDOW] for a, b in zip(first[cold], last[cold], strict=True)])
+        for i, where in zip(warm, at[hot[at]], strict=True):
             p = np.arange(first[i], last[i] + 1)
-            h = range_hashes(prefix, p, p + WINDOW)
-            half = range_hashes(prefix, p + 1, p + WINDOW // 2) + mix(range_hashes(prefix, p + WINDOW // 2, p + WINDOW))
-            out.append(pa.table([pa.array(np.full(len(p), grams[i]).view(np.int64)), pa.array(np.full(len(p), contexts[i]).view(np.int64)), pa.array((anchor[i] - p).astype(np.int32)), pa.nulls(len(p), pa.binary()), pa.array(h.view(np.int64)), pa.array(half.view(np.int64))], schema=schema))
+            add(np.full(len(p), i), np.full(len(p), where), grams, anchor[i] - p, [raw[x : x + WINDOW] for x in p.tolist()])
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
@@ -245,7 +310,8 @@ def _sorted_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(held: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(held).combine_chunks()
         which, lead = repeated_windows(table["bytes"].to_pylist(), table["lead"].to_numpy(), table["gram"].to_numpy())
-        return pa.RecordBatch.from_arrays([table["context"].combine_chunks().take(pa.array(which)), pa.array(lead.astype(np.int32))], ["context", "lead"])
+        keys = [table[c].combine_chunks().take(pa.array(which)) for c in ("context", "check")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(lead.astype(np.int32))], ["context", "check", "lead"])
 
     held, total = [], 0
     for group in runs(parts, ["gram"]):
@@ -266,45 +332,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     blocks = cut(_blocks(docs.select(F.col(id_col), F.col(text_col)), block_bytes))
     payload = blocks.where("kind = 1").select(F.col("block").alias("home"), "payload")
-    seen = blocks.where("kind = 0").select("block", "gram", "context", "n")
-    each = seen.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("block").alias("first"))
+    key = ["context", "check"]
+    seen = blocks.where("kind = 0").select("block", "gram", *key, "n")
+    each = seen.groupBy("gram", *key).agg(F.sum("n").alias("n"), F.min("block").alias("first"))
     grams = each.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("singles"))
     open_ = cut(
         each.join(grams.where("total > 1"), "gram")
-        .select("gram", "context", (F.col("n") > 1).alias("full"), "first", F.expr("kinds > 1 and singles > 0").alias("mixed"), (F.col("kinds") > GROUP).alias("hot"))
+        .select("gram", *key, (F.col("n") > 1).alias("full"), "first", F.expr("kinds > 1 and singles > 0").alias("mixed"), (F.col("kinds") > GROUP).alias("hot"))
     )
-    asked = open_.where("mixed").select(F.col("first").alias("block"), "context", "hot")
+    asked = open_.where("mixed").select(F.col("first").alias("block"), *key, "hot")
     sent = cut(
         payload.groupBy("home").cogroup(asked.groupBy("block"))
-        .applyInArrow(_send, "gram long, context long, lead int, bytes binary, h1 long, h2 long")
+        .applyInArrow(_send, "gram long, context long, check long, lead int, hot boolean, bytes binary")
     )
-    cold = sent.where("bytes is not null").select("gram", "context", "lead", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, "context long, lead int")
-    hashed = sent.where("bytes is null").select("context", "lead", "h1", "h2")
-    twice = hashed.groupBy("lead", "h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    partly = cold.unionByName(hashed.join(twice, ["lead", "h1", "h2"]).select("context", "lead"))
-    leads = partly.groupBy("context").agg(F.collect_set("lead").alias("leads"))
-    told = open_.where("full").select("context", F.lit(None).cast("array<int>").alias("leads")).unionByName(
-        leads.join(open_.where("not full").select("context"), "context").select("context", "leads")
+    cold = sent.where("not hot").select("gram", *key, "lead", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, "context long, check long, lead int")
+    spread = sent.where("hot").select(*key, "lead", "bytes")
+    twice = spread.groupBy("lead", "bytes").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    partly = cold.unionByName(spread.join(twice, ["lead", "bytes"]).select(*key, "lead"))
+    leads = partly.groupBy(*key).agg(F.collect_set("lead").alias("leads"))
+    told = open_.where("full").select(*key, F.lit(None).cast("array<int>").alias("leads")).unionByName(
+        leads.join(open_.where("not full").select(*key), key).select(*key, "leads")
     )
-    answers = seen.select("block", "context").join(told, "context")
+    answers = seen.select("block", *key).join(told, key)
 
     def finish(payload: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = _unpack(payload["payload"])
-        by = np.argsort(answers["context"].to_numpy().view(U))
-        wanted = answers["context"].to_numpy().view(U)[by]
-        told = answers["leads"].take(pa.array(by)).combine_chunks() if len(by) else None
+        wanted = _Wanted(answers)
+        told = answers["leads"].take(pa.array(wanted.by)).combine_chunks() if len(wanted.by) else None
         full = ~np.array(told.is_valid()) if told is not None else np.zeros(0, bool)
         n_bytes, removed, spans, digest, kept = [], [], [], [], []
         for _, data, offsets, (anchor, first, last, _, contexts, _) in _scan(texts):
             edge = np.zeros(len(data) + 1, np.int64)
-            at, ok = _find(wanted, contexts)
-            whole = np.flatnonzero(ok)
-            part = whole[~full[at[whole]]]
-            whole = whole[full[at[whole]]]
+            hit, at = wanted.find(data.tobytes(), contexts, first, last, anchor - first)
+            part, part_at, whole = hit[~full[at]], at[~full[at]], hit[full[at]]
             np.add.at(edge, first[whole], 1)
             np.add.at(edge, last[whole] + WINDOW, -1)
-            for i in part:
-                p = anchor[i] - np.asarray(told[int(at[i])].values)
+            for i, where in zip(part, part_at.tolist(), strict=True):
+                p = anchor[i] - np.asarray(told[where].values)
                 np.add.at(edge, p, 1)
                 np.add.at(edge, p + WINDOW, -1)
             gone = np.cumsum(edge[:-1]) > 0

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphwalk.llm import suffix_dedup as sd
@@ -64,8 +65,65 @@ def test_suffix_sort_orders_by_bytes():
     data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(900)), np.uint8)
     at = np.array(r.sample(range(850), 300))
     segment = np.sort(np.array([r.randint(0, 5) for _ in at]))
-    order = sd.suffix_sort(data, prefix_hashes(data), at, segment, 40)
+    order = sd.suffix_sort(data, prefix_hashes(data), at, segment, np.full(300, 40))
     raw = data.tobytes()
     for s in range(6):
         got = [raw[at[i] : at[i] + 40] for i in order if segment[i] == s]
         assert got == sorted(got) and len(got) == (segment == s).sum()
+
+
+def weak_hashes(data):
+    """Prefix sums that tell nothing but the length: every two strings of a length collide."""
+    return np.zeros(len(data) + 1, np.uint64)
+
+
+@pytest.mark.parametrize("hashed", [prefix_hashes, weak_hashes])
+def test_sorts_are_verified(hashed):
+    r = random.Random(6)
+    data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(600)), np.uint8)
+    at = np.array([r.randrange(560) for _ in range(120)])
+    length = np.minimum(np.array([r.randint(0, 40) for _ in at]), 600 - at)
+    segment = np.sort(np.array([r.randint(0, 3) for _ in at]))
+    raw = data.tobytes()
+    order, best = sd.sorted_suffixes(data, hashed(data), at, segment, length)
+    for s in range(4):
+        own = [raw[at[i] : at[i] + length[i]] for i in order if segment[i] == s]
+        assert own == sorted(own)
+    for i in range(len(at)):
+        mine = raw[at[i] : at[i] + length[i]]
+        shared = [next((n for n, (x, y) in enumerate(zip(mine, theirs, strict=False)) if x != y), min(len(mine), len(theirs)))
+                  for j in range(len(at)) if j != i and segment[j] == segment[i] for theirs in [raw[at[j] : at[j] + length[j]]]]
+        assert best[i] == max(shared, default=0)
+
+
+@pytest.mark.parametrize("hashed", [prefix_hashes, weak_hashes])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_windows_of_a_group_equal_brute_force(hashed, seed):
+    r, window = random.Random(seed), 20
+    contexts, leads, groups = [], [], []
+    for g in range(6):
+        gram = bytes(r.choice(b"xyz") for _ in range(6))
+        sides = [(bytes(r.choice(b"ab") for _ in range(14)), bytes(r.choice(b"ab") for _ in range(14))) for _ in range(3)]
+        for _ in range(r.randint(1, 6)):
+            before, after = r.choice(sides)[0], r.choice(sides)[1]
+            before = before[r.randint(0, 10) :]
+            after = after[: r.randint(14 - len(before), 14)] if len(before) < 14 else after
+            contexts.append(before + gram + after)
+            leads.append(len(before))
+            groups.append(g * 77)
+    which, lead = sd.repeated_windows(contexts, np.array(leads), np.array(groups), window, hashed)
+    every = [(i, leads[i] - p) for i, c in enumerate(contexts) for p in range(len(c) - window + 1)]
+    at = lambda i, x: (groups[i], x, contexts[i][leads[i] - x : leads[i] - x + window])
+    seen = Counter(at(i, x) for i, x in every)
+    assert sorted(zip(which.tolist(), lead.tolist(), strict=True)) == sorted((i, x) for i, x in every if seen[at(i, x)] > 1)
+
+
+def test_contexts_of_one_polynomial_hash():
+    raw = np.random.default_rng(3).integers(97, 120, 3000).astype(np.uint8).tobytes()
+    first = np.array([0, 500, 1000])
+    last, lead = first + 30, np.array([5, 6, 7])
+    check = sd.checks_of(raw, first, last, lead)
+    same = np.full(3, 9, np.uint64)
+    wanted = sd._Wanted(pa.table({"context": same[:2].view(np.int64), "check": check[[2, 0]].view(np.int64)}))
+    hit, at = wanted.find(raw, same, first, last, lead)
+    assert hit.tolist() == [0, 2] and [wanted.check[i] for i in at] == [check[0], check[2]]
