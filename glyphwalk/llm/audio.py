@@ -1,19 +1,23 @@
 """Audio columns: 8-bit PCM in WAV form, polyphase resampling, log-mel features, energy segments.
 
 ``encode`` stores bytes as unsigned 8-bit samples, one channel, and ``decode`` gives them back
-exactly. ``features`` resamples by a polyphase filter (each output sample is computed by one phase
-of the filter only), takes overlapped windows, and gives log-mel energies in tensors of one fixed
-shape with the time span of each; ``segments`` finds active spans by two energy thresholds.
-
-Long signals are resampled and transformed in blocks of ``BLOCK`` frames, so memory does not grow
-with the text beyond its own bytes. The result depends on the text alone: every text is computed
-by itself, in the same blocks. Null is the empty text (64 zero bytes); repeated rows repeat.
+exactly. ``features`` resamples by 3/4 with a polyphase filter (each output sample is computed by one
+of three phases of the filter), takes overlapped windows, and gives log-mel energies in tensors of one
+fixed shape with the time span of each; ``segments`` finds active spans by two energy thresholds.
+``to_arrow`` stores them as an Arrow stream whose tensor column has the fixed-shape tensor type,
+with the spans beside it; the digest is made from what ``from_arrow`` reads back.
+
+Long signals are transformed in blocks of ``BLOCK`` frames, so memory grows with a text's own bytes
+only. The result depends on the text alone: every text is computed by itself, in the same blocks. Null
+is the empty text (64 zero bytes); repeated rows repeat; an empty table gives an empty result. Columns
+other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import json
 import wave
 import zlib
 from collections.abc import Iterator
@@ -24,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 3, 4
 FRAME, HOP, MELS = 256, 128, 16
-SHAPE = (64, MELS)  # frames and bands of one tensor
+SHAPE = (16, MELS)  # frames and bands of one tensor
 BLOCK = 4096
 #: Hysteresis in standard deviations of log energy: a span starts above HIGH and ends below LOW.
 HIGH, LOW = 0.5, -0.5
@@ -48,8 +52,8 @@ def decode(stored: bytes) -> bytes:
 
 
 @lru_cache(maxsize=8)
-def _phases(up: int, down: int, taps: int = 4) -> np.ndarray:
-    """Filter phases: row p filters the inputs that meet output phase p."""
+def _phases(up: int, down: int, taps: int = 4) -> tuple[np.ndarray, int]:
+    """Filter phases (row p filters the inputs that meet phase p) and the index of the filter's centre."""
     n = taps * 2 * max(up, down) + 1
     t = np.arange(n) - (n - 1) / 2
     h = np.sinc(t / max(up, down)) * np.hamming(n)
@@ -57,26 +61,27 @@ def _phases(up: int, down: int, taps: int = 4) -> np.ndarray:
     width = -(-n // up)
     padded = np.zeros(width * up)
     padded[:n] = h
-    return padded.reshape(width, up).T.astype(np.float32)
+    return padded.reshape(width, up).T.astype(np.float32), (n - 1) // 2
 
 
 def resample(signal: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Rational resampling; output i takes filter phase i * down % up at input i * down // up."""
-    phases = _phases(up, down)
+    """Rational resampling: output i is the filter's centre at i * down of the signal spread by ``up``.
+
+    With u = i * down + centre, phase u % up meets the inputs that end at u // up.
+    """
+    phases, centre = _phases(up, down)
     width = phases.shape[1]
-    lead = (width * up - 1) // (2 * up)
-    x = np.concatenate([np.zeros(width - 1 - lead, np.float32), signal.astype(np.float32), np.zeros(width, np.float32)])
+    x = np.concatenate([np.zeros(width - 1, np.float32), signal.astype(np.float32), np.zeros(width, np.float32)])
     n = -(-len(signal) * up // down)
     out = np.empty(n, np.float32)
     view = np.lib.stride_tricks.sliding_window_view(x, width)
-    for first in range(up):
-        i = np.arange(first, n, up)
-        if len(i):
-            phase, at = first * down % up, i * down // up
-            step = down
-            rows = view[at[0] : at[-1] + 1 : step] if up == 1 or len(i) == 1 or at[1] - at[0] == step else view[at]
-            for b in range(0, len(i), 1 << 16):
-                out[i[b : b + (1 << 16)]] = rows[b : b + (1 << 16)] @ phases[phase][::-1]
+    for first in range(min(up, n)):
+        u = first * down + centre
+        rows = view[u // up :: down]
+        count = -(-(n - first) // up)
+        for b in range(0, count, 1 << 16):
+            e = min(count, b + (1 << 16))
+            out[first + b * up : first + (e - 1) * up + 1 : up] = rows[b:e] @ phases[u % up][::-1]
     return out
 
 
@@ -132,11 +137,41 @@ def tensor_array(tensors: np.ndarray) -> pa.Array:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors))
 
 
+def to_arrow(found: dict) -> bytes:
+    """Features as an Arrow stream: fixed-shape tensors and their spans; the active spans are metadata."""
+    batch = pa.RecordBatch.from_arrays(
+        [tensor_array(found["tensors"]), pa.array([a for a, _ in found["spans"]], pa.float64()), pa.array([b for _, b in found["spans"]], pa.float64())], ["tensor", "start_s", "end_s"]
+    )
+    batch = batch.replace_schema_metadata({"active": json.dumps(found["active"]), "frames": str(found["frames"])})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_arrow(stored: bytes) -> dict:
+    """What ``to_arrow`` was given, from the stream."""
+    table = pa.ipc.open_stream(stored).read_all()
+    kind, meta = table.schema.field("tensor").type, table.schema.metadata
+    if not isinstance(kind, pa.FixedShapeTensorType):
+        raise TypeError(f"no fixed-shape tensors but {kind}")
+    tensors = table["tensor"].combine_chunks()
+    tensors = tensors.chunk(0) if isinstance(tensors, pa.ChunkedArray) else tensors
+    return {
+        "tensors": tensors.to_numpy_ndarray(), "spans": list(zip(table["start_s"].to_pylist(), table["end_s"].to_pylist(), strict=True)),
+        "active": [tuple(x) for x in json.loads(meta[b"active"])], "frames": int(meta[b"frames"]), "shape": tuple(kind.shape),
+    }
+
+
 def describe(found: dict) -> str:
-    """Digest of the features: counts, active time and the mean of every band, rounded."""
+    """Digest of the features: counts, shape, end of the last span, active time and the mean of every band, rounded."""
     bands = found["tensors"].reshape(-1, MELS)[: found["frames"]].mean(axis=0, dtype=np.float64)
     active = sum(b - a for a, b in found["active"])
-    return f"frames={found['frames']};tensors={len(found['spans'])};segments={len(found['active'])};active={active:.3f};mel=" + ",".join(f"{x:.2f}" for x in bands)
+    shape = "x".join(map(str, found["tensors"].shape[1:]))
+    return (
+        f"frames={found['frames']};tensors={len(found['spans'])};shape={shape};end={found['spans'][-1][1]:.3f};segments={len(found['active'])};active={active:.3f};mel="
+        + ",".join(f"{x:.2f}" for x in bands)
+    )
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -146,28 +181,20 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, span_index, start_s, end_s, tensor array<float> of SHAPE flattened, active) per tensor of each text."""
+    """(id, media, tensors) of each text: the WAV file and the Arrow stream of its features."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for doc, text in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                got = features(decode(encode(payload_of(text)[0])))
-                storage = tensor_array(got["tensors"]).storage
-                n = len(got["spans"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc.as_py()] * n, part.schema.field(0).type), pa.array(range(n), pa.int64()), pa.array([a for a, _ in got["spans"]]), pa.array([b for _, b in got["spans"]]),
-                     storage.cast(pa.list_(pa.float32())), pa.array([[{"start_s": a, "end_s": b} for a, b in got["active"]]] * n, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))],
-                    [id_col, "span_index", "start_s", "end_s", "tensor", "active"],
-                )
+            for doc, text in zip(part.column(0), part.column(1), strict=True):
+                stored = encode(payload_of(text.as_py())[0])
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], part.schema.field(0).type), pa.array([stored]), pa.array([to_arrow(features(decode(stored)))])], [id_col, "media", "tensors"])
 
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(
-        run, f"`{id_col}` {kind}, span_index long, start_s double, end_s double, tensor array<float>, active array<struct<start_s: double, end_s: double>>"
-    )
+    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, media binary, tensors binary")
 
 
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: sizes and hashes of payload and stored form, and a digest of the features."""
+    """One row per text: sizes and hashes of payload and stored form, a digest of the features, and these as an Arrow stream."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +204,16 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 payload, n = payload_of(text.as_py())
                 stored = encode(payload)
                 back = decode(stored)
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(features(back))))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                tensors = to_arrow(features(back))
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(from_arrow(tensors)), tensors))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
-                [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors"],
             )
 
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(
         run,
-        f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors binary",
     )
