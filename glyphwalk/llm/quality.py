@@ -5,20 +5,22 @@ of the raw text (the labelled rows whatever their label, a random part of the co
 log importance weight is the sum, over its distinct n-grams, of the log ratio of the two models; a
 ratio that the counts can't tell from 1 is shrunk towards it by ``1 - (SHRINK / z)**2``, where z is
 its standard score. Documents are then drawn without replacement by Gumbel top-k: the ``k`` largest
-of ``sharpness * log weight + Gumbel noise``, k being the labelled share of good rows times the
+of ``log weight / temperature + Gumbel noise``, k being the labelled share of good rows times the
 number of documents. Documents outside the sample are rejected.
 
-n-grams: words as written, words in lower case without punctuation, pairs of the latter, and two
-symbols for how often a word follows itself, by itself and with the length (powers of two), each
-hashed to 2**BITS buckets. The two models are therefore 4 * 2**BITS numbers, which is all that is
-sent to the driver and to tasks. The sum of log ratios is divided by the root of WEAK + the number
-of n-grams, else long documents would outweigh short ones by their length. Models are fitted on at most ``max_labels`` labelled rows (those
-of smallest hash, so any part of the corpus has its share); everything else covers all rows.
+n-grams: words as written, words in lower case without punctuation, pairs of the latter, and
+n-grams of word classes, 2, 4 and 8 in a row, a word's class being whether it is the one before
+again. Each is hashed to one of 2**BITS buckets of its kind. The two models are therefore 4 * 2**BITS
+numbers, which is all that is sent to the driver and to tasks. Models are fitted on at most
+``max_labels`` labelled rows (those of smallest hash, so any part of the corpus has its share);
+everything else covers all rows.
 
 The noise is a hash of id and text, so reruns agree. The k-th largest key is found by histograms of
 4,096 bins, each narrowing the last, never by a global sort. Rows whose key ties with it are kept
-too. Null text is the empty text; null ids have no label; repeated rows have
-equal keys and share their fate. Without labels every document is kept.
+too. Null text is the empty text (weight 0); null ids have no label; repeated rows have
+equal keys and share their fate. Long texts are read whole, however long. Without labels every
+document is kept; an empty table gives an empty result. Other columns pass through; one named like
+a column of the result (``__weight``, ``__key``, ``__kept``) gives way to it.
 """
 
 from __future__ import annotations
@@ -37,16 +39,31 @@ from glyphwalk.llm._text import LOWER, U, batches, join_texts, mix, prefix_hashe
 from glyphwalk.plans.cut import cut
 
 BITS = 17
-#: WEAK: n-grams' worth of doubt about short documents, so that few n-grams have little say.
-PRIOR, SHRINK, SHARPNESS, WEAK = 1.0, 3.0, 500.0, 30
+PRIOR, SHRINK, TEMPERATURE, CLASSES = 1.0, 2.0, 1.0, (2, 4, 8)
 PLAIN = np.full(256, 0x20, np.uint8)
 for _i in range(256):
     if _i >= 128 or chr(_i).isalnum():
         PLAIN[_i] = LOWER[_i]
 
 
-def _log2(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(n + 1)).astype(np.int64)
+def class_ngrams(doc: np.ndarray, hashes: np.ndarray, texts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(text index, n-gram hash) of the distinct n-grams of word classes of each text."""
+    again = np.zeros(len(hashes), np.int64)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+    out = []
+    for size in CLASSES:
+        n = len(hashes) - size + 1
+        if n <= 0:
+            continue
+        code = np.zeros(n, np.int64)
+        for j in range(size):
+            code = 2 * code + again[j : j + n]
+        inside = doc[size - 1 :] == doc[:n]
+        seen = np.zeros((texts, 1 << size), bool)
+        seen[doc[:n][inside], code[inside]] = True
+        at, code = np.nonzero(seen)
+        out.append((at, mix((code + (1 << size)).astype(U) * U(0x9E3779B97F4A7C15))))
+    return out
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,9 +85,7 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             same = doc[1:] == doc[:-1]
             found.append((doc[1:][same], shingle_hashes(hashes, 2)[same], 2))
         if kind:
-            total, twice = (np.bincount(d, minlength=len(texts)) for d in (doc, doc[1:][(doc[1:] == doc[:-1]) & (hashes[1:] == hashes[:-1])]))
-            for mark in (_log2(twice), _log2(total) * 64 + _log2(twice) + 64):
-                found.append((np.arange(len(texts)), mix(mark.astype(U) * U(0x9E3779B97F4A7C15)), 3))
+            found += [(d, h, 3) for d, h in class_ngrams(doc, hashes, len(texts))]
     keys = np.concatenate([(d.astype(np.int64) << (BITS + 2)) | (k << BITS) | (h >> U(64 - BITS)).astype(np.int64) for d, h, k in found])
     keys = np.unique(keys)
     return keys >> (BITS + 2), keys & ((1 << (BITS + 2)) - 1), whole
@@ -84,12 +99,15 @@ def _batches(texts: pa.Array) -> Iterator[tuple[slice, list]]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labels: int) -> tuple[np.ndarray, float | None]:
     """Log ratios of all buckets, and the share of good rows among the labelled."""
-    chosen = (
+    judged = cut(
         labels.select(F.col("doc_id").cast("long").alias("i"), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
         .where("i is not null and good is not null")
         .groupBy("i").agg(F.min("good").alias("good"))
-        .orderBy(F.xxhash64("i"), "i").limit(max_labels).toArrow().sort_by("i")
+        .withColumn("h", -F.pmod(F.xxhash64("i"), F.lit(1 << 52)).cast("double"))
     )
+    if judged.count() > max_labels:
+        judged = judged.where(F.col("h") >= F.lit(kth_largest(judged, "h", max_labels)))
+    chosen = judged.select("i", "good").toArrow().sort_by("i")  # max_labels rows, of 9 bytes each
     if not chosen.num_rows:
         return np.zeros(1 << (BITS + 2), np.float32), None
     ids, good = chosen["i"].to_numpy(), chosen["good"].to_numpy()
@@ -133,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
     return (ratio * np.maximum(0, 1 - (SHRINK / np.maximum(np.abs(z), 1e-9)) ** 2)).astype(np.float32), share
 
 
-def score(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, sharpness: float, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, temperature: float = TEMPERATURE, seed: int = 7) -> DataFrame:
     """All columns of ``docs`` and __weight (log importance weight), __key (with Gumbel noise)."""
     names = docs.columns
     at_id, at_text = names.index(id_col), names.index(text_col)
@@ -145,10 +163,10 @@ def score(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, sharp
             ids = mix(pc.fill_null(part.column(at_id).cast(pa.int64()), -1).to_numpy(zero_copy_only=False).view(U) + U(seed))
             for piece, texts in _batches(part.column(at_text)):
                 doc, bucket, whole = features(texts)
-                weight[piece] = np.bincount(doc, weights=ratios[bucket], minlength=len(texts)) / np.sqrt(WEAK + np.bincount(doc, minlength=len(texts)))
+                weight[piece] = np.bincount(doc, weights=ratios[bucket], minlength=len(texts))
                 noise[piece] = ((mix(whole + ids[piece]) >> U(11)).astype(np.float64) + 0.5) / 2.0**53
             weight = np.round(weight, 9)
-            key = sharpness * weight - np.log(-np.log(noise))
+            key = weight / temperature - np.log(-np.log(noise))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight), pa.array(key)], [*names, "__weight", "__key"])
             trim()
 
@@ -181,12 +199,13 @@ def resample(
     text_col: str = "text",
     keep_share: float | None = None,
     max_labels: int = 200_000,
-    sharpness: float = SHARPNESS,
+    temperature: float = TEMPERATURE,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with __weight, __key and __kept (in the sample)."""
+    docs = docs.drop("__weight", "__key", "__kept")
     ratios, share = fit(docs, labels, id_col, text_col, max_labels)
     share = keep_share if keep_share is not None else 1.0 if share is None else share
-    scored = cut(score(docs, ratios, id_col, text_col, sharpness))
+    scored = cut(score(docs, ratios, id_col, text_col, temperature))
     k = round(share * scored.count())
     least = kth_largest(scored, "__key", k) if k > 0 else None
     return scored.withColumn("__kept", F.lit(False) if least is None else F.col("__key") >= F.lit(least))

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,64 @@ def test_round_trip_and_equal_texts(spark):
 
 def test_polyphase_equals_direct_filtering():
     r = np.random.default_rng(1)
-    for up, down in ((1, 2), (2, 3), (3, 1)):
-        x = r.normal(size=203).astype(np.float32)
-        phases = audio._phases(up, down)
-        h = phases.T.ravel()
-        spread = np.zeros(len(x) * up)
-        spread[::up] = x
-        full = np.convolve(spread, h)
-        lead = (len(h) - 1) // (2 * up) * up
-        want = full[lead : lead + len(spread) : down]
-        got = audio.resample(x, up, down)
-        assert len(got) == len(want) and np.allclose(got, want, atol=1e-4)
+    for up, down in ((1, 2), (2, 3), (3, 1), (3, 4), (5, 2)):
+        for size in (203, 64, 3, 1):
+            x = r.normal(size=size).astype(np.float32)
+            phases, centre = audio._phases(up, down)
+            spread = np.zeros(len(x) * up)
+            spread[::up] = x
+            want = np.convolve(spread, phases.T.ravel())[centre : centre + len(spread) : down]
+            got = audio.resample(x, up, down)
+            assert len(got) == len(want) and np.allclose(got, want, atol=1e-4)
+
+
+def slow_feature(payload):
+    """The digest by plain loops: every output sample, frame, band and span by its definition."""
+    signal = [(b - 128) / 128 for b in payload]
+    up, down, rate = audio.UP, audio.DOWN, audio.RATE * audio.UP / audio.DOWN
+    size = 8 * max(up, down) + 1
+    h = np.sinc((np.arange(size) - (size - 1) / 2) / max(up, down)) * np.hamming(size)
+    h = h * up / h.sum()
+    out = []
+    for i in range(-(-len(signal) * up // down)):
+        u = i * down + (size - 1) // 2
+        out.append(sum(h[u - j * up] * signal[j] for j in range(max(0, (u - size) // up), min(len(signal), u // up + 1)) if 0 <= u - j * up < size))
+    n = max(1, -(-(len(out) - audio.FRAME) // audio.HOP) + 1)
+    out += [0.0] * ((n - 1) * audio.HOP + audio.FRAME - len(out))
+    mel = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), audio.MELS + 2)]
+    bands, energy = np.zeros((n, audio.MELS)), np.zeros(n)
+    for f in range(n):
+        frame = np.array(out[f * audio.HOP : f * audio.HOP + audio.FRAME]) * np.hanning(audio.FRAME)
+        k = np.arange(audio.FRAME // 2 + 1)
+        power = np.abs(np.exp(-2j * np.pi * np.outer(k, np.arange(audio.FRAME)) / audio.FRAME) @ frame) ** 2
+        for m in range(audio.MELS):
+            weight = [max(0, min((x - mel[m]) / (mel[m + 1] - mel[m]), (mel[m + 2] - x) / (mel[m + 2] - mel[m + 1]))) for x in k * rate / audio.FRAME]
+            bands[f, m] = np.log(np.dot(power, weight) + 1e-6)
+        energy[f] = np.log((frame**2).sum() + 1e-6)
+    level, spans, begin = (energy - energy.mean()) / max(energy.std(), 1e-6), [], None
+    for f in range(n + 1):
+        inside = f < n and level[f] > audio.LOW
+        if inside and begin is None:
+            begin = f
+        if not inside and begin is not None:
+            spans += [(begin, f)] if max(level[begin:f]) > audio.HIGH else []
+            begin = None
+    active = sum((b - 1 - a) * audio.HOP + audio.FRAME for a, b in spans) / rate
+    counts = f"frames={n};tensors={-(-n // audio.SHAPE[0])};shape={audio.SHAPE[0]}x{audio.MELS};end={n * audio.HOP / rate:.3f};segments={len(spans)};active={active:.3f}"
+    return counts, bands.mean(0)
+
+
+def test_query_equals_brute_force(spark):
+    r = random.Random(11)
+    texts = ["", "short", "é" * 300, " ".join("".join(r.choice("abcxyz") for _ in range(r.randint(1, 9))) for _ in range(200)), "aaaa" * 150 + "~!" * 200 + "aaaa" * 150]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in audio.media_digest(df).collect():
+        payload = audio.payload_of(texts[row["doc_id"]])[0]
+        counts, mel = slow_feature(payload)
+        said, found = row["feature"].split(";mel=")
+        assert said == counts and np.abs(np.array(found.split(","), float) - mel).max() < 0.011
+        back = audio.from_arrow(bytes(row["tensors"]))
+        assert back["shape"] == audio.SHAPE and len(back["spans"]) == len(back["tensors"])
 
 
 def test_features_in_blocks_and_segments(monkeypatch):
@@ -55,7 +103,9 @@ def test_features_in_blocks_and_segments(monkeypatch):
 
 def test_media_table(spark):
     rows = audio.media_table(spark.createDataFrame([(3, "word " * 9000)], "doc_id long, text string")).collect()
-    assert [r["span_index"] for r in rows] == list(range(len(rows))) and all(len(r["tensor"]) == audio.SHAPE[0] * audio.SHAPE[1] for r in rows)
+    back = audio.from_arrow(bytes(rows[0]["tensors"]))
+    assert len(rows) == 1 and audio.decode(bytes(rows[0]["media"]))[:45000] == b"word " * 9000
+    assert back["tensors"].shape == (len(back["spans"]), *audio.SHAPE) and all(a < b for a, b in back["spans"]) and back["shape"] == audio.SHAPE
 
 
 def test_bit_parallel_patterns_equal_regular_expressions():
@@ -94,6 +144,62 @@ def test_held_out_accuracy(spark):
     assert sum(k == g for k, g in held_out) >= 0.95 * len(held_out)
 
 
+def test_inclusion_frequencies_are_those_of_sampling_without_replacement(spark):
+    ratios = np.zeros(4 << quality.BITS, np.float32)
+    for i in range(8):
+        _, bucket, _ = quality.features([f"item{i}"])
+        ratios[bucket[0]] = 0.5 * i - 1.5
+    groups, k = 700, 3
+    docs = spark.createDataFrame([(g * 8 + i, f"item{i}") for g in range(groups) for i in range(8)], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["__weight"], r["__key"]) for r in quality.score(docs, ratios, "doc_id", "text").collect())
+    weight, key = (np.array([r[c] for r in rows]).reshape(groups, 8) for c in (1, 2))
+    assert np.allclose(weight, 0.5 * np.arange(8) - 1.5)
+    got = np.bincount(np.argsort(-key, axis=1)[:, :k].ravel(), minlength=8) / groups
+    draw, want = np.random.default_rng(1), np.zeros(8)
+    for _ in range(20_000):
+        p = np.exp(weight[0])
+        for _ in range(k):
+            i = draw.choice(8, p=p / p.sum())
+            want[i] += 1 / 20_000
+            p[i] = 0
+    assert np.abs(got - want).max() < 0.06
+
+
+def test_weights_equal_brute_force(spark):
+    rows, labels = corpus(120, 8)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["__weight"] for r in quality.resample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    words = {i: [w.lower() for w in t.split()] for i, t, _, _ in rows}
+
+    def grams(w):  # words as written and in lower case are the same here
+        found = {("as written", x) for x in w} | {("plain", x) for x in w} | {("pair", *x) for x in zip(w, w[1:], strict=False)}
+        again = [int(b == a) for a, b in zip([None, *w], w, strict=False)]
+        return found | {("class", *again[i : i + n]) for n in quality.CLASSES for i in range(len(again) - n + 1)}
+
+    marked = {i: bool(q and not t) for i, q, t in labels}
+    raw, target = Counter(), Counter()
+    for i, good in marked.items():
+        raw.update(grams(words[i]))
+        target.update(grams(words[i]) if good else ())
+    share = sum(marked.values()) / len(marked)
+
+    def ratio(g):
+        e = raw[g] * share
+        z = (target[g] - e) / np.sqrt(max(e * (1 - share), 1e-9))
+        return np.log((target[g] + 1) / (e + 1)) * max(0, 1 - (quality.SHRINK / max(abs(z), 1e-9)) ** 2)
+
+    # Buckets of 17 bits: a few n-grams of a corpus this small share one.
+    close = [abs(got[i] - sum(map(ratio, grams(w)))) < 1e-3 for i, w in words.items()]
+    assert sum(close) >= 0.9 * len(close)
+
+
+def test_labels_beyond_the_bound(spark):
+    rows, labels = corpus(400, 9)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    ratios, share = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", "text", 50)
+    assert ratios.any() and round(share * 50, 6) == round(share * 50)
+
+
 def test_quality_edges(spark):
     rows, labels = corpus(60, 5)
     docs = spark.createDataFrame([(1000, None, "x"), (1001, "", "x"), (None, "fine1", "x"), (5, rows[5][1], "x"), (5, rows[5][1], "x"), (1002, "fine2 " * 50000, "x")], "doc_id long, text string, __kept2 string")
