@@ -14,13 +14,17 @@ distinct (ORDER + 1)-grams and word hashes it needs, with its training counts, s
 a hash of the key and packed as differences of sorted keys. Parts are merged as a stream, so memory
 follows a part's distinct keys. The trie is evaluated where its parts meet: all contexts that share
 their last two bytes meet in one group, for which only the orders 0 and 1 are needed from outside
-(65,536 counts at most). Each part then holds its costs against the blocks' requests, again as a
+(65,536 counts at most). Pairs of bytes with more than a part's share of the grams are split by the byte before
+them; their contexts of order 2 are counted outside too (256 counts for each of at most as many pairs
+as there are parts). Each part then holds its costs against the blocks' requests, again as a
 stream, and sends values only: blocks know their own keys. Neither the trie nor any table that
 grows is broadcast or collected; what is gathered grows with the corpus. Costs travel as 32-bit
 floats (7 digits each) and are added as 64-bit ones.
 
 Words are keyed by a 64-bit hash. Null texts are empty, null ids count as the empty string for
-the split, repeated rows are texts of their own; without training texts every symbol is uniform.
+the split, repeated rows are texts of their own; without training texts every symbol is uniform. A
+text longer than a block is a block of its own and is scored whole. An empty table gives an empty result.
+Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -257,11 +261,29 @@ def _looked_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{"block": row["block"], "kind": row["kind"], "part": row["part"], "values": pack_values(found)}], schema=schema)
 
 
-def evaluate(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
+def _dealt(batches_: Iterator[pa.RecordBatch], parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Grams by a hash of their tail; those whose two bytes before the last are ``hot`` (sorted) by that of three bytes."""
+    for batch in batches_:
+        for row in batch.to_pylist():
+            keys = unpack_keys(row["keys"])
+            split = np.isin((keys >> np.uint64(8)) & np.uint64(65535), hot)
+            if not split.any():
+                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
+                continue
+            tail = np.full(len(keys), row["tail"])
+            tail[split] = (mix((keys[split] >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int64)
+            counts, order = unpack_values(row["counts"], np.uint64), np.argsort(tail, kind="stable")
+            names, first = np.unique(tail[order], return_index=True)
+            rows = [{"tail": int(t), "part": row["part"], "keys": pack_keys(keys[i]), "counts": pack_values(counts[i])} for t, i in zip(names, np.split(order, first[1:]), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+
+def evaluate(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = ORDER, hot: np.ndarray = (), triples: tuple = ((), ())) -> np.ndarray:
     """log10 of the probability of the last byte of each gram, given those before it.
 
     keys: distinct grams of order + 1 bytes, big-endian, that include all of those of the training
     texts with the same two bytes before the last, for each such pair that occurs; pairs: counts[256, 256] of (byte, next byte).
+    For pairs in ``hot`` it is three bytes before the last; triples: sorted grams of order 2 with such a pair, and their counts.
     """
     grams: list = [None] * (order + 1)
     contexts: list = [None] * (order + 1)
@@ -269,6 +291,12 @@ def evaluate(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = OR
         part = keys & ((1 << 8 * (k + 1)) - 1)
         g, where = np.unique(part, return_inverse=True)
         c = np.bincount(where, weights=n, minlength=len(g)).astype(np.int64)
+        if k == 2 and len(hot):
+            cold = ~np.isin(g >> 8, hot)
+            here = np.isin(triples[0] >> 8, g >> 8)
+            g, c = np.concatenate([g[cold], triples[0][here]]), np.concatenate([c[cold], triples[1][here]])
+            by = np.argsort(g, kind="stable")
+            g, c = g[by], c[by]
         g, c = g[c > 0], c[c > 0]
         grams[k] = (g, c)
     for k in (1, 0):
@@ -335,18 +363,38 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens, kinds = n_words + ends, n_kinds + (ends > 0)
 
     def last_pairs(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(65536, np.int64)
+        """Counts of (byte, next byte), and below zero the distinct grams of each pair before the last byte."""
+        table, kinds_ = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
         for batch in batches_:
             for k, c in zip(batch["keys"], batch["counts"], strict=True):
-                at = (unpack_keys(k.as_py()) & np.uint64(65535)).astype(np.int64)
-                table += np.bincount(at, weights=unpack_values(c.as_py(), np.uint64), minlength=65536).astype(np.int64)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["p", "n"])
+                keys = unpack_keys(k.as_py())
+                table += np.bincount((keys & np.uint64(65535)).astype(np.int64), weights=unpack_values(c.as_py(), np.uint64), minlength=65536).astype(np.int64)
+                kinds_ += np.bincount(((keys >> np.uint64(8)) & np.uint64(65535)).astype(np.int64), minlength=65536)
+        at, of = np.flatnonzero(table), np.flatnonzero(kinds_)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - of])), pa.array(np.concatenate([table[at], kinds_[of]]))], ["p", "n"])
 
     grams = counts.where(F.col("kind") == GRAM)
-    pairs = np.zeros((256, 256), np.int64)
+    pairs, share = np.zeros((256, 256), np.int64), np.zeros(65536, np.int64)
     for r in grams.select("keys", "counts").mapInArrow(last_pairs, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect():
-        pairs[r["p"] >> 8, r["p"] & 255] = r["n"]
+        if r["p"] < 0:
+            share[-1 - r["p"]] = r["n"]
+        else:
+            pairs[r["p"] >> 8, r["p"] & 255] = r["n"]
+    hot = np.flatnonzero(share * parts > share.sum())
+
+    def of_hot(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((len(hot), 256), np.int64)
+        for batch in batches_:
+            for k, c in zip(batch["keys"], batch["counts"], strict=True):
+                keys = unpack_keys(k.as_py()).astype(np.int64)
+                at, tail = np.searchsorted(hot, (keys >> 8) & 65535), (keys >> 8) & 65535
+                mine = hot[np.minimum(at, len(hot) - 1)] == tail
+                np.add.at(table, (at[mine], keys[mine] & 255), unpack_values(c.as_py(), np.uint64).astype(np.int64)[mine])
+        i, x = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array((hot[i] << 8) | x), pa.array(table[i, x])], ["p", "n"])
+
+    found = grams.select("keys", "counts").mapInArrow(of_hot, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect() if len(hot) else []
+    triples = tuple(np.array(sorted((r["p"], r["n"]) for r in found), np.int64).reshape(-1, 2).T)
 
     def part_costs(table: pa.Table) -> pa.Table:
         each = [unpack_keys(k.as_py()).astype(np.int64) for k in table["keys"]]
@@ -354,10 +402,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n = np.concatenate([unpack_values(c.as_py(), np.uint64).astype(np.int64) for c in table["counts"]])
         order = np.argsort(keys, kind="stable")
         cost = np.empty(len(keys), np.float32)
-        cost[order] = evaluate(keys[order], n[order], pairs)
+        cost[order] = evaluate(keys[order], n[order], pairs, hot=hot, triples=triples)
         return pa.table({"part": table["part"], "keys": table["keys"], "counts": pa.array([pack_values(c) for c in np.split(cost, np.cumsum([len(k) for k in each])[:-1])], pa.binary())})
 
-    costs = grams.select("tail", "part", "keys", "counts").groupBy("tail").applyInArrow(part_costs, "part int, keys binary, counts binary")
+    dealt = grams.select("tail", "part", "keys", "counts").mapInArrow(lambda b: _dealt(b, parts, hot), "tail int, part int, keys binary, counts binary")
+    costs = dealt.groupBy("tail").applyInArrow(part_costs, "part int, keys binary, counts binary")
     none = F.lit(None).cast("long").alias("block")
     model = costs.select(none, F.lit(GRAM).cast("byte").alias("kind"), "part", "keys", "counts").unionByName(
         counts.where(F.col("kind") == WORD).select(none, "kind", "part", "keys", "counts")
