@@ -7,7 +7,8 @@ whose target exceeds its size is repeated in whole epochs, at most ``cap`` of th
 Only DataFrame operations run here. A hot source is split into 4,096 key ranges, so no task
 holds a source. Allocation iterates over the table of sources with three scalars per round.
 
-Null ids and texts are ordinary values (text null: size 0), the null source is a source of its
+Keys are hashes of id and text, so rows that share an id (or have none) are spread too; only rows equal
+in both stay together. Null ids and texts are ordinary values (text null: size 0), the null source is a source of its
 own and comes last, repeated rows are mixed as rows of their own, an empty table gives an empty
 result. Other columns of the input are not read.
 """
@@ -76,7 +77,7 @@ def mix(
     up to the budget in key order; the row at the cut gives the words that are still missing, so a
     source gives exactly the whole part of its target.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
     rows = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),

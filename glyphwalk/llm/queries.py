@@ -20,7 +20,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 s AS (
@@ -120,16 +120,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS item FROM benchmark),
-bi AS (SELECT item_id, item, len(item) AS n FROM b WHERE len(item) > 4),
-ds AS (SELECT doc_id, len(words) AS total, unnest(range(0, len(words) - 4)) AS pos, words FROM d WHERE len(words) > 4),
-dh AS (SELECT doc_id, total, pos, array_to_string(words[pos + 1:pos + 5], ' ') AS s FROM ds),
-bs AS (SELECT item_id, n, unnest(range(0, n - 4)) AS q, item FROM bi),
-bh AS (SELECT item_id, n, q, array_to_string(item[q + 1:q + 5], ' ') AS s FROM bs),
-w AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(pos - q, total - n)) AS start FROM dh JOIN bh USING (s)),
-x AS (SELECT w.doc_id, w.item_id, w.n, w.start, dh.s, count(*) AS a FROM w JOIN dh ON dh.doc_id = w.doc_id AND dh.pos BETWEEN w.start AND w.start + w.n - 5 GROUP BY ALL),
-y AS (SELECT w.doc_id, w.item_id, w.n, w.start, bh.s, count(*) AS b FROM w JOIN bh ON bh.item_id = w.item_id GROUP BY ALL),
-z AS (SELECT doc_id, item_id, n, start, sum(least(coalesce(a, 0), coalesce(b, 0))) AS shared, sum(greatest(coalesce(a, 0), coalesce(b, 0))) AS united
-      FROM x FULL JOIN y USING (doc_id, item_id, n, start, s) GROUP BY ALL),
+bi AS (SELECT item_id, row_number() OVER () AS iv, item, len(item) AS n, least(5, len(item)) AS k FROM b WHERE len(item) > 0),
+ds AS (SELECT doc_id, len(words) AS total, k, unnest(range(0, len(words) - k + 1)) AS pos, words FROM d, (SELECT DISTINCT k FROM bi) WHERE len(words) >= k),
+dh AS (SELECT doc_id, total, k, pos, array_to_string(words[pos + 1:pos + k], ' ') AS s FROM ds),
+bs AS (SELECT item_id, iv, n, k, unnest(range(0, n - k + 1)) AS q, item FROM bi),
+bh AS (SELECT item_id, iv, n, k, q, array_to_string(item[q + 1:q + k], ' ') AS s FROM bs),
+w AS (SELECT DISTINCT doc_id, item_id, iv, n, k, greatest(0, least(pos - q, total - n)) AS start FROM dh JOIN bh USING (k, s)),
+x AS (SELECT w.doc_id, w.item_id, w.iv, w.n, w.start, dh.s, count(*) AS a FROM w JOIN dh ON dh.doc_id = w.doc_id AND dh.k = w.k AND dh.pos BETWEEN w.start AND w.start + w.n - w.k GROUP BY ALL),
+y AS (SELECT w.doc_id, w.item_id, w.iv, w.n, w.start, bh.s, count(*) AS b FROM w JOIN bh ON bh.iv = w.iv GROUP BY ALL),
+z AS (SELECT doc_id, item_id, iv, n, start, sum(least(coalesce(a, 0), coalesce(b, 0))) AS shared, sum(greatest(coalesce(a, 0), coalesce(b, 0))) AS united
+      FROM x FULL JOIN y USING (doc_id, item_id, iv, n, start, s) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared::DOUBLE / united DESC, start) AS k FROM z WHERE shared >= 0.8 * united)
 SELECT doc_id, item_id, start::BIGINT AS start_word, n::BIGINT AS n_words, round(shared::DOUBLE / united, 6) AS similarity FROM r WHERE k = 1
 """

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -28,7 +29,7 @@ def fuzzy(t, changes):
 
 DOCUMENTS = [
     (1, None, "a"), (2, "", "a"), (3, " \t\n ", None), (4, text(50), None), (4, text(20), None), (None, text(30), "a"), (None, text(30), "b"), (7, text(4000), "b"),
-    (8, "é à\x0bü\x0c z", "é"), (9, text(20) + " " + ITEM + " " + text(10), "b"), (10, fuzzy(ITEM, 1), "b"), (11, ITEM.upper(), "a"), (12, fuzzy(ITEM, 9), "a"), (13, ITEM + " " + ITEM, "c"),
+    (8, "é à\x0bü\x0c z", "é"), (9, text(20) + " " + ITEM + " " + text(10), "b"), (10, fuzzy(ITEM, 1), "b"), (11, ITEM.upper(), "a"), (12, fuzzy(ITEM, 9), "a"), (13, ITEM + " " + ITEM, "c"), (14, "zero ONE two three four", "a"), (15, "one two", "a"), (16, "four", None), (17, "four four", None), (18, fuzzy(ITEM, 2), "b"),
     *[(20 + i, text(9), "hot") for i in range(60)], (90, text(9), "hot"), (90, text(9), "hot"),
 ]
 CONVERSATIONS = [
@@ -45,7 +46,7 @@ URLS = [
 def odd(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("odd"))
     spark.createDataFrame([(*d, 7, "w") for d in DOCUMENTS], "doc_id long, text string, source string, size int, words string").write.parquet(f"{path}/documents.parquet")
-    items = [(0, ITEM), (1, None), (2, ""), (3, "one two"), (4, text(15)), (4, text(15))]
+    items = [(0, ITEM), (1, None), (2, ""), (3, "one two"), (4, text(15)), (4, text(15)), (5, "One two three"), (6, "four"), (7, ITEM), (7, fuzzy(ITEM, 1)), (7, fuzzy(ITEM, 2))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(*c, 1) for c in CONVERSATIONS], "conv_id long, turn long, role string, text string, part int").write.parquet(f"{path}/conversations.parquet")
     spark.createDataFrame([(i % 20, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, host string").write.parquet(f"{path}/pages.parquet")
@@ -88,15 +89,33 @@ def test_mixing_meets_budgets_and_caps(spark):
     assert abs(sum(t for _, t in by) - 1040) < 1e-6 and all(sum(v) == math.floor(t) for (_, t), v in by.items())
 
 
-def test_blocks_of_fingerprints_cover_the_radius(spark):
-    """Two fingerprints within RADIUS bits agree on a block; there is one block more than the radius."""
-    bits = [bool(R.getrandbits(1)) for _ in range(decontaminate.BITS)]
-    other = list(bits)
-    for i in R.sample(range(decontaminate.BITS), decontaminate.RADIUS):
-        other[i] = not other[i]
-    df = spark.createDataFrame([(bits, other)], "a array<boolean>, b array<boolean>")
-    a, b = df.select(decontaminate.blocks_of(df["a"]), decontaminate.blocks_of(df["b"])).first()
-    assert len(a) == decontaminate.RADIUS + 1 and set(a) & set(b)
+def test_no_window_at_the_threshold_is_lost(spark):
+    """Items and copies that are alike to 0.8 or little more, by edits, cuts and repetition, against all aligned windows."""
+    r = random.Random(12)
+    items, docs = [], []
+    for i in range(60):
+        words = [f"v{r.randint(0, 40) if i % 3 == 0 else r.random()}" for _ in range(r.randint(6, 70))]
+        items.append((i, " ".join(words)))
+        lost = max(1, (len(words) - 4) // 9)
+        copy = list(words)
+        if i % 2:
+            copy = copy[:-lost] + [f"z{r.random()}" for _ in range(lost)]
+        else:
+            copy[r.choice([0, len(copy) - 1])] = "z"
+        docs.append((i, " ".join([f"a{r.random()}" for _ in range(9)] + copy + ["tail"] * 3)))
+    shingles = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for i, (d, t) in zip(items, docs, strict=True):
+        item, words = i[1].split(), t.split()
+        a = shingles(item)
+        for start in range(len(words) - len(item) + 1):
+            b = shingles(words[start : start + len(item)])
+            shared, united = sum((a & b).values()), sum((a | b).values())
+            if shared >= 0.8 * united:
+                want[d] = max(want.get(d, 0), shared / united)
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 40 and {r["doc_id"]: round(r["similarity"], 9) for r in got if r["doc_id"] == r["item_id"]} == {d: round(s, 9) for d, s in want.items()}
+    assert max(r["distance"] for r in got) <= decontaminate.RADIUS
 
 
 def test_rendered_conversations(spark):
