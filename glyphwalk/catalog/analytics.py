@@ -21,13 +21,13 @@ def bias_profile(spark, sf):
     return found.select("event_type", F.col("bucket").cast("long").alias("bucket"), "n", F.round("share", 6).alias("share"))
 
 
-RARE = "(SELECT event_type, floor(value / 50)::BIGINT AS band, count(*) AS n FROM events WHERE user_id < 5 GROUP BY ALL)"
+BANDS = "(SELECT user_id, floor(value / 50)::BIGINT AS band, count(*) AS n FROM events GROUP BY ALL)"
 
 
-@query(f"SELECT e.event_type, b.band, coalesce(n, 0) AS n FROM (SELECT DISTINCT event_type FROM {RARE}) e, (SELECT DISTINCT band FROM {RARE}) b LEFT JOIN {RARE} r ON r.event_type = e.event_type AND r.band = b.band")
+@query(f"SELECT e.user_id, b.band, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id FROM {BANDS}) e, (SELECT DISTINCT band FROM {BANDS}) b LEFT JOIN {BANDS} r ON r.user_id = e.user_id AND r.band = b.band")
 def bias_densified(spark, sf):
-    rare = read(spark, sf, "events").where("user_id < 5").groupBy("event_type", F.floor(F.col("value") / 50).alias("band")).agg(F.count(F.lit(1)).alias("n"))
-    return an.densify(rare, ["event_type"], ["band"], {"n": 0})
+    counted = read(spark, sf, "events").groupBy("user_id", F.floor(F.col("value") / 50).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return an.densify(counted, ["user_id"], ["band"], {"n": 0})
 
 
 @query("""WITH o AS (SELECT event_type, count(*) FILTER (user_id % 2 = 0) AS o, count(*) FILTER (user_id % 2 = 1) AS e FROM events GROUP BY event_type)
@@ -102,8 +102,8 @@ def null_aware_flag(spark, sf):
     return worst.select("user_id", (F.col("v") < 300).alias("valid"))
 
 
-@query("SELECT doc_id, n, source FROM (SELECT doc_id, 1 AS n, 'label' AS source FROM labels UNION ALL SELECT doc_id, NULL, 'document' FROM documents WHERE n_chars > 5000)")
+@query("SELECT doc_id, n, source FROM (SELECT doc_id, 1 AS n, 'label' AS source FROM labels UNION ALL SELECT doc_id, NULL, 'document' FROM documents)")
 def union_all(spark, sf):
     a = read(spark, sf, "labels").select("doc_id", F.lit(1).alias("n"), F.lit("label").alias("source"))
-    b = read(spark, sf, "documents").where("n_chars > 5000").select("doc_id", F.lit("document").alias("source"))
+    b = read(spark, sf, "documents").select("doc_id", F.lit("document").alias("source"))
     return a.unionByName(b, allowMissingColumns=True)

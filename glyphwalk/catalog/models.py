@@ -56,11 +56,11 @@ def lm_token_rank(spark, sf):
 
 
 @query(f"""WITH {CHARS}, u AS (SELECT sum(n) AS n, t FROM cnt GROUP BY t), g AS (SELECT c, u.t, u.n FROM (SELECT DISTINCT c FROM cnt), u)
-  SELECT g.c, g.t, round(0.9 * coalesce(lm.p, 0) + 0.1 * g.n::DOUBLE / (SELECT sum(n) FROM cnt), 6) AS p FROM g LEFT JOIN lm USING (c, t) WHERE g.c < 128 AND g.t < 128""")
+  SELECT g.c, g.t, round(0.9 * coalesce(lm.p, 0) + 0.1 * g.n::DOUBLE / (SELECT sum(n) FROM cnt), 6) AS p FROM g LEFT JOIN lm USING (c, t)""")
 def lm_interpolated(spark, sf):
     docs = read(spark, sf, "documents").select(F.transform(characters_of(F.col("text")), lambda c: F.ascii(c)).alias("tokens"))
     model = LanguageModel.from_counts(ngram_counts(docs, eos=EOS), 1, mix=0.9)
-    return flat(model).where("c < 128 and t < 128").select("c", "t", "p")
+    return flat(model).select("c", "t", "p")
 
 
 WORDS = r"(SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL)"
@@ -85,12 +85,12 @@ def word_bigram_lm(spark, sf):
 
 
 @query(f"""SELECT w1, w2, w3, n FROM (SELECT w1, w2, w3, n, row_number() OVER (PARTITION BY w1, w2 ORDER BY n DESC, w3) AS k FROM (
-  SELECT w1, w2, w3, count(*) AS n FROM (SELECT unnest(w[:-3]) AS w1, unnest(w[2:-2]) AS w2, unnest(w[3:]) AS w3 FROM {WORDS} WHERE len(w) > 2) GROUP BY ALL)) WHERE k = 1 AND n > 1""")
+  SELECT w1, w2, w3, count(*) AS n FROM (SELECT unnest(w[:-3]) AS w1, unnest(w[2:-2]) AS w2, unnest(w[3:]) AS w3 FROM {WORDS} WHERE len(w) > 2) GROUP BY ALL)) WHERE k = 1""")
 def word_trigram_best(spark, sf):
     triples = F.arrays_zip(F.slice("w", 1, F.size("w") - 2).alias("w1"), F.slice("w", 2, F.size("w") - 2).alias("w2"), F.slice("w", 3, F.size("w") - 2).alias("w3"))
     counted = _words(spark, sf).where(F.size("w") > 2).select(F.inline(triples)).toDF("w1", "w2", "w3").groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("w1", "w2").agg(F.min(F.struct((-F.col("n")).alias("m"), "w3")).alias("b"))
-    return best.select("w1", "w2", "b.w3", (-F.col("b.m")).alias("n")).where("n > 1")
+    return best.select("w1", "w2", "b.w3", (-F.col("b.m")).alias("n"))
 
 
 def _items(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from glyphwalk.catalog._registry import read, registry
@@ -15,8 +18,12 @@ QUERIES, query = registry()
 ASCII = Vocabulary.characters("".join(map(chr, range(1, 128))))
 
 
+#: Whether searches may run in the driver's process; the rows named ..._tables say no.
+_IN_PROCESS: ContextVar[bool] = ContextVar("in_process", default=True)
+
+
 def char_engine(spark, sf) -> Engine:
-    return prepare(char_model(spark, sf), ASCII)
+    return replace(prepare(char_model(spark, sf), ASCII), in_process=_IN_PROCESS.get())
 
 
 def answers(found, places: int = 5):
@@ -189,3 +196,22 @@ def search_canonical(spark, sf):
     """Only the encoding that the tokenizer gives."""
     found = prepare(piece_model(spark, sf)).search(PatternQuery(Text("the|then|thing|nation|a"), tokens=Tokens.CANONICAL))
     return found.select("text", F.round("cost", 5).alias("cost"))
+
+
+def _on_tables(name: str) -> None:
+    """Registers a search once more, on frontier tables whatever its size."""
+    run, sql = QUERIES[name]
+
+    def search(spark, sf):
+        before = _IN_PROCESS.set(False)
+        try:
+            return run(spark, sf)
+        finally:
+            _IN_PROCESS.reset(before)
+
+    search.__name__ = f"{name}_tables"
+    query(sql)(search)
+
+
+for _name in ("search_shortest_path", "search_topk", "search_prefix_penalized", "search_eos", "search_max_len", "search_max_cost", "search_many_queries", "search_enumerate_bfs", "search_beam", "search_random_walk"):
+    _on_tables(_name)

@@ -132,7 +132,7 @@ def best_template_match(spark, sf):
 @query(f"SELECT p_name, template, levenshtein(p_name, template) AS distance FROM (SELECT DISTINCT p_name FROM part), (VALUES {_VALUES}) t(i, template) WHERE levenshtein(p_name, template) <= 4")
 def edit_within_k_join(spark, sf):
     names = read(spark, sf, "part").select("p_name").distinct()
-    near = F.levenshtein("p_name", "template", 4)
+    near = F.when(F.abs(F.length("p_name") - F.length("template")) <= 4, F.levenshtein("p_name", "template", 4))
     return names.join(F.broadcast(_templates(spark)), near >= 0).select("p_name", "template", near.cast("long").alias("distance"))
 
 
@@ -159,7 +159,7 @@ def memorization_overlap(spark, sf):
     return shared.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("g").alias("grams"))
 
 
-@query(r"""SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '[a-zA-Z0-9_]+')))::INT AS words FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query(r"""SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+')))::INT AS words FROM conversations WHERE text IS NOT NULL""")
 def words_in_context(spark, sf):
-    plain = read(spark, sf, "conversations").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("conv_id", "turn", F.size(an.words_in(F.col("text"))).alias("words"))
+    turns = read(spark, sf, "conversations").where("text is not null")
+    return turns.select("conv_id", "turn", F.size(an.words_in(F.col("text"))).alias("words"))

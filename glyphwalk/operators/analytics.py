@@ -10,11 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphwalk.plans.cut import cut
 from glyphwalk.plans.pattern import java_full_match, literal, parse, to_java
 
 # --- shares, dense tables, tests -----------------------------------------------------------------
 
 
+#: Bound of key tables that are multiplied with others.
+CATEGORIES = 10_000
+
+
 def shares(df: DataFrame, by: list[str], within: list[str] = (), share: str = "share") -> DataFrame:
     """Counts per ``by`` and their share of the rows of ``within`` (of all rows if empty)."""
     counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -22,8 +27,11 @@ def shares(df: DataFrame, by: list[str], within: list[str] = (), share: str = "s
 
 
 def densify(df: DataFrame, left: list[str], right: list[str], fill: dict[str, float]) -> DataFrame:
-    """All combinations of the keys that occur; missing ones get ``fill``. Key tables are small by nature (categories)."""
-    grid = df.select(*left).distinct().join(F.broadcast(df.select(*right).distinct()))
+    """All combinations of the keys that occur; missing ones get ``fill``. The right keys are categories: more than ``CATEGORIES`` of them are refused."""
+    keys = df.select(*right).distinct()
+    if keys.limit(CATEGORIES + 1).count() > CATEGORIES:
+        raise ValueError(f"{right} have more than {CATEGORIES} values")
+    grid = df.select(*left).distinct().join(F.broadcast(keys))
     return grid.join(df, [*left, *right], "left").fillna(fill)
 
 
@@ -112,10 +120,16 @@ def accuracy(df: DataFrame, truth: str, guess: str, by: list[str] = ()) -> DataF
 def widen(log: DataFrame, first_key: str, order: str, key: str = "key", value: str = "value") -> DataFrame:
     """A log of (key, value) lines as one row per record; a record starts at each ``first_key``.
 
-    Keys are found first (a small set), then pivoted.
+    Keys are found first (a small set), then pivoted. Lines are laid out in ranges of their order;
+    the records of the ranges before are added to the running number in each, so no task holds the log.
     """
-    frame = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = log.withColumn("record", F.sum((F.col(key) == first_key).cast("long")).over(frame))
+    starts = F.coalesce((F.col(key) == first_key).cast("long"), F.lit(0))
+    laid = cut(log.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).withColumn("__starts", starts))
+    parts = laid.groupBy("__part").agg(F.sum("__starts").alias("__n"))
+    parts = parts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = laid.withColumn("__own", F.sum("__starts").over(inside)).join(F.broadcast(parts), "__part")  # a row per range
+    numbered = numbered.withColumn("record", F.col("__own") + F.col("__before")).drop("__part", "__starts", "__own", "__before")
     return numbered.where("record > 0").groupBy("record").pivot(key).agg(F.first(value))
 
 
@@ -227,7 +241,9 @@ def clean_url(url: Column, end_mark: str = "<|endoftext|>") -> Column:
 
 
 def best_match(texts: DataFrame, templates: DataFrame, text: str = "text") -> DataFrame:
-    """The nearest template of each text by edit distance; the first template wins ties. Templates: (template_id, template), few."""
+    """The nearest template of each text by edit distance; the first template wins ties. Templates: (template_id, template), at most ``CATEGORIES``."""
+    if templates.limit(CATEGORIES + 1).count() > CATEGORIES:
+        raise ValueError(f"more than {CATEGORIES} templates")
     pairs = texts.join(F.broadcast(templates))
     distance = F.levenshtein(F.col(text), F.col("template"))
     near = pairs.groupBy(text).agg(F.min(F.struct(distance.alias("distance"), "template_id", "template")).alias("m"))

@@ -10,13 +10,15 @@ rounded to nine digits before any comparison. Three prunes keep the frontier sma
 * reachability: automata are trimmed, so every state leads to an answer.
 
 Queries that share their options advance together in one frontier, told apart by ``query_id``.
-A level's result is kept as a local relation while it is small (its size is checked), and as a
-table in the shared folder beyond. Searches that touch few model rows skip the tables altogether
+A level is written once, as a table in the shared folder that tells its answers too; nothing of it
+comes to the driver but its size. Ranks of unlimited answers come from a range-sorted table, so no
+task holds the answers of a query. Searches that touch few model rows skip the tables altogether
 (``local_search``); both ways give the same answers.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
@@ -32,7 +34,7 @@ from glyphwalk.plans.automaton import Automaton
 from glyphwalk.plans.cut import cut
 from glyphwalk.plans.query import Order, PatternQuery, SearchOptions, Tokens, as_options
 
-LOCAL_ROWS, BROADCAST_ROWS, DEFAULT_LEN, ATTEMPTS = 20_000, 1_000_000, 64, 20
+BROADCAST_ROWS, DEFAULT_LEN = 1_000_000, 64
 FRONTIER = "query_id string, state int, prefix_state int, context array<int>, tokens array<int>, cost double"
 
 
@@ -82,19 +84,12 @@ def compile_query(query: PatternQuery | SearchOptions, vocabulary: Vocabulary, q
     if o.end:
         tokens = tokens.concat(Automaton.any_of([vocabulary.eos]))
     longest = None if tokens.is_cyclic else tokens.longest()
+    if longest is None and o.max_len is None:
+        warnings.warn(f"the language is infinite and the query has no max_len; answers end at {DEFAULT_LEN} tokens", stacklevel=2)
     max_len = min(x for x in (o.max_len, longest, DEFAULT_LEN if longest is None and o.max_len is None else None) if x is not None)
     return Plan(query_id, o, tokens, prefix, max_len)
 
 
-def settle(df: DataFrame, schema: str = FRONTIER) -> DataFrame:
-    """The rows of ``df`` without their history: local if they are few, else in the shared folder."""
-    spark = df.sparkSession
-    few = df.limit(LOCAL_ROWS + 1).collect()
-    if len(few) <= LOCAL_ROWS:
-        return spark.createDataFrame(few, schema)
-    return cut(df)
-
-
 def _expanded(spark: SparkSession, plans: list[Plan], automata: list[Automaton | None], model: LanguageModel, names: tuple[str, str]) -> DataFrame:
     """(query_id, src, token, dst): arcs with their label ranges spread over the model's tokens."""
     rows = [(p.query_id, s, lo, hi, d) for p, a in zip(plans, automata, strict=True) if a is not None for s, arcs in enumerate(a.arcs) for lo, hi, d in arcs]
@@ -161,7 +156,9 @@ def _best(model: LanguageModel, plans: list[Plan], o: SearchOptions) -> DataFram
     forced = _expanded(spark, plans, [p.prefix for p in plans], model, ("prefix_state", "after_prefix")) if any(p.prefix for p in plans) else None
     contexts, finals = cut(_contexts(model, o.top_k)), _finals(spark, plans)
     frontier = _start(spark, plans, model)
+    ends = finals.withColumn("final", F.lit(True))
     found = spark.createDataFrame([(p.query_id, [], 0.0) for p in plans if 0 in p.automaton.finals], RESULT)
+    levels: list[DataFrame] = []
     lengths = spark.createDataFrame([(p.query_id, p.max_len) for p in plans], "query_id string, max_len int")
     greedy, plain = o.order is Order.GREEDY, o.order is Order.ENUMERATE
     checked = _canonical_check(plans, model) if o.dynamic_canonical else None
@@ -196,16 +193,17 @@ def _best(model: LanguageModel, plans: list[Plan], o: SearchOptions) -> DataFram
             if o.limit:
                 full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"), F.max("cost").alias("bound")).where(F.col("have") >= o.limit)
                 after = after.join(F.broadcast(full), "query_id", "left").where("bound is null or cost <= bound").drop("have", "bound")
-        frontier = settle(after)
-        new = frontier.join(finals, ["query_id", "state"], "left_semi").select("query_id", "tokens", "cost")
-        found = found.unionByName(new)
-        if o.limit is not None:
+        frontier = cut(after.join(ends, ["query_id", "state"], "left"))
+        new = frontier.where("final").select("query_id", "tokens", "cost")
+        frontier = frontier.drop("final")
+        if o.limit is None:
+            levels.append(new)
+        else:
             ahead = Window.partitionBy("query_id").orderBy(*([F.size("tokens")] if plain else ["cost"]), "tokens")
-            found = found.withColumn("k", F.row_number().over(ahead)).where(F.col("k") <= o.limit).drop("k")
-        found = settle(found, RESULT)
+            found = cut(found.unionByName(new).withColumn("k", F.row_number().over(ahead)).where(F.col("k") <= o.limit).drop("k"))
         if frontier.isEmpty() or plain and o.limit is not None and found.count() >= o.limit * len(plans):
             break
-    return found
+    return reduce(DataFrame.unionByName, levels, found)
 
 
 def _canonical_check(plans: list[Plan], model: LanguageModel):
@@ -220,8 +218,8 @@ def _canonical_check(plans: list[Plan], model: LanguageModel):
     return check
 
 
-def _sampled(model: LanguageModel, plans: list[Plan], o: SearchOptions, attempts: int = ATTEMPTS) -> DataFrame:
-    """(query_id, tokens, cost, walker): ``limit`` walks per query; stuck walkers start again with another seed."""
+def _sampled(model: LanguageModel, plans: list[Plan], o: SearchOptions) -> DataFrame:
+    """(query_id, tokens, cost, walker): ``limit`` walks per query; stuck walkers start again with another seed, ``attempts`` times in all."""
     spark = model.rows.sparkSession
     n = o.limit or 1
     edges = _expanded(spark, plans, [p.automaton for p in plans], model, ("src", "dst"))
@@ -243,8 +241,7 @@ def _sampled(model: LanguageModel, plans: list[Plan], o: SearchOptions, attempts
         for p in plans
     ])
     done: list[DataFrame] = []
-    schema = FRONTIER + ", walker long"
-    for attempt in range(attempts):
+    for attempt in range(o.attempts):
         frontier = first
         for d in done:
             frontier = frontier.join(d, ["query_id", "walker"], "left_anti")
@@ -264,11 +261,11 @@ def _sampled(model: LanguageModel, plans: list[Plan], o: SearchOptions, attempts
                 (F.slice(F.array_append("context", F.col("token")), -model.order, model.order) if model.order else F.col("context")).alias("context"),
                 F.array_append("tokens", F.col("token")).alias("tokens"), F.round(F.col("cost") - F.ln(F.col("q") / F.col("z")), 9).alias("cost"), "walker",
             )
-            frontier = settle(after, schema)
+            frontier = cut(after)
             over = frontier.join(finals, ["query_id", "state"], "left_semi")
             # A walk ends at a final state that nothing follows (the end mark).
             ended = over.join(edges, (over["query_id"] == edges["query_id"]) & (F.col("state") == F.col("src")), "left_anti")
-            done.append(settle(ended.select("query_id", "walker", "tokens", "cost"), "query_id string, walker long, tokens array<int>, cost double"))
+            done.append(cut(ended.select("query_id", "walker", "tokens", "cost")))
             frontier = frontier.join(done[-1], ["query_id", "walker"], "left_anti")
             if frontier.isEmpty():
                 break
@@ -293,13 +290,24 @@ def _in_process(model: LanguageModel, plans: list[Plan], o: SearchOptions) -> Da
     few = local_search.LocalModel(model, [a for p in plans for a in (p.automaton, p.prefix) if a is not None], o.top_k)
     spark = model.rows.sparkSession
     if o.order is Order.RANDOM:
-        rows = [(p.query_id, w, t, c) for p in plans for w, t, c in local_search.sample(few, p, ATTEMPTS)]
+        rows = [(p.query_id, w, t, c) for p in plans for w, t, c in local_search.sample(few, p, o.attempts)]
         return spark.createDataFrame(rows, "query_id string, walker long, tokens array<int>, cost double")
     marks = {model.vocabulary.eos, model.vocabulary.bos}
     check = (lambda tokens: model.vocabulary.is_canonical([t for t in tokens if t not in marks])) if o.dynamic_canonical else None
     return spark.createDataFrame([(p.query_id, t, c) for p in plans for t, c in local_search.best(few, p, check)], RESULT)
 
 
+def _numbered(found: DataFrame, order: list) -> DataFrame:
+    """Adds ``rank`` within each query, however many rows it has: places in a range-sorted table plus the rows of the parts before."""
+    laid = found.repartitionByRange("query_id", *order).sortWithinPartitions("query_id", *order)
+    laid = cut(laid.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    parts = laid.groupBy("query_id", "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("query_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    rank = (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("rank")
+    return laid.join(F.broadcast(parts), ["query_id", "__part"]).select(*found.columns, rank)  # a row per part and query
+
+
 def run_plans(model: LanguageModel, plans: list[Plan], in_process: bool = True) -> DataFrame:
     """Answers of all plans: (query_id, rank, tokens, text, cost), ranks from 1 by cost and tokens (samples: by walker).
 
@@ -308,20 +316,24 @@ def run_plans(model: LanguageModel, plans: list[Plan], in_process: bool = True)
     groups: dict[tuple, list[Plan]] = defaultdict(list)
     for p in plans:
         o = p.options
-        groups[o.order, o.limit, o.top_k, o.temperature, o.aggregation, o.beam, o.dynamic_canonical, o.penalize_prefix, o.stay_in_prefix, o.unbiased_prefix, o.seed].append(p)
+        groups[o.order, o.limit, o.top_k, o.temperature, o.aggregation, o.beam, o.dynamic_canonical, o.penalize_prefix, o.stay_in_prefix, o.unbiased_prefix, o.seed, o.attempts].append(p)
     out = []
     for members in groups.values():
         o = members[0].options
         tempered = model.temper(o.temperature)
         tempered = tempered if tempered is model else tempered.settled()
         random = o.order is Order.RANDOM
+        small = True
         try:
             if not in_process:
                 raise local_search.TooLarge
             found = _in_process(tempered, members, o)
         except local_search.TooLarge:
-            found = (_sampled if random else _best)(tempered, members, o)
+            small, found = False, (_sampled if random else _best)(tempered, members, o)
         order = ["walker"] if random else [*([F.size("tokens")] if o.order is Order.ENUMERATE else ["cost"]), "tokens"]
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+        if small or o.limit is not None and not random:
+            ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+        else:
+            ranked = _numbered(found, order)
         out.append(decode(ranked.select("query_id", "rank", "tokens", "cost"), model.vocabulary))
     return reduce(DataFrame.unionByName, out).select("query_id", "rank", "tokens", "text", "cost")

@@ -74,6 +74,8 @@ class SearchOptions:
     automaton: Automaton | None = None
     prefix_automaton: Automaton | None = None
     unicode: bool = True
+    #: How often a random walk that gets stuck starts again; fewer than ``limit`` answers come back if all of them do.
+    attempts: int = 20
 
     def __post_init__(self):
         if self.pattern is None and self.automaton is None:
