@@ -8,14 +8,15 @@ trees make the probability to miss a link there (1 - J**4)**24: 2e-8 at J = 0.85
 
 Larger nodes go on, and recall is held all the way down:
 
-1. Random parts of a node are compared, so that what is alike becomes one component.
-2. If few sets are left outside the largest component, they are compared with all of the node, in
+1. If few sets are outside the node's largest component, they are compared with all of the node, in
    blocks: exact, and linear in the node.
-3. Otherwise every set goes to ``FAN`` children by independent seeds for every two levels. A linked
+2. Otherwise random parts are compared first, so that what is alike becomes one component.
+3. If many are left, every set goes to ``FAN`` children by independent seeds for every two levels. A linked
    pair then has 2 J**2 > 1 common children on average and stays together in some branch with the
    probability that ``survival`` gives, whatever the depth: misses by chance stay below 2e-4.
-4. At ``MAX_DEPTH`` what is left is compared as in 2, in as many blocks as it takes.
+4. At ``MAX_DEPTH`` what is left is compared as in 1, in as many blocks as it takes.
 
+Only sets of different components are compared, each of those outside the node's largest one with all.
 Rounds of trees: after each, links become components, and a node of a later tree is only looked
 at if it still holds two components. Large groups of near copies are therefore compared once or
 twice, and only the spanning links of a node leave it: no pairs of a group are written. Links are
@@ -83,40 +84,53 @@ def descend(tokens: np.ndarray, paths: np.ndarray, levels: int) -> np.ndarray:
     return paths
 
 
-def link_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning links of a node: indices i < j, for each component of the similarity graph."""
+def link_sets(sets: list[np.ndarray], percent: int, components: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links of a node between components: pairs of indices; ``components`` are those known before (none: each set its own)."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    label = np.arange(m) if components is None else np.unique(components, return_inverse=True)[1]
     if m == 2:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * common >= percent * (sizes.sum() - common) else []
+        return [(0, 1)] if label[0] != label[1] and 100 * common >= percent * (sizes.sum() - common) else []
+    rows = np.flatnonzero(label != np.bincount(label).argmax())
+    if not len(rows):
+        return []
+    at_row = np.full(m, -1)
+    at_row[rows] = np.arange(len(rows))
     owner = np.repeat(np.arange(m), sizes)
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(count > 1) - 1
-    shared = count[token] > 1
+    # Tokens of one set, or of none outside the largest component, are common to no pair that counts.
+    useful = (count > 1) & (np.bincount(token[at_row[owner] >= 0], minlength=len(count)) > 0)
+    rank, n = np.cumsum(useful) - 1, int(useful.sum())
+    shared = useful[token]
     owner, token = owner[shared], rank[token[shared]]
-    width, n = max(1, (1 << 23) // m), int((count > 1).sum())
-    common = np.zeros((m, m), np.float32 if sizes.max() < 1 << 24 else np.float64)
+    width = max(1, (1 << 23) // m)
+    common = np.zeros((len(rows), m), np.float32 if sizes.max() < 1 << 24 else np.float64)
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
     for b in range(0, n, width):
         i, j = np.searchsorted(token, (b, b + width))
         x = np.zeros((m, min(width, n - b)), np.float32)
         x[owner[i:j], token[i:j] - b] = 1
-        common += x @ x.T
+        common += x[rows] @ x.T
     common = np.rint(common).astype(np.int64)
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    out, seen = [], np.zeros(m, bool)
-    for root in range(m):
-        if seen[root]:
-            continue
-        seen[root], queue = True, [root]
-        while queue:
-            i = queue.pop()
-            new = np.flatnonzero(linked[i] & ~seen)
-            seen[new] = True
-            out += [(i, int(j)) for j in new]
-            queue += new.tolist()
+    linked = 100 * common >= percent * (sizes[rows, None] + sizes[None, :] - common)
+    up = list(range(int(label.max()) + 1))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
+    for r, i in enumerate(rows.tolist()):
+        near = np.flatnonzero(linked[r])
+        for j in near[np.unique(label[near], return_index=True)[1]].tolist():
+            a, b = root(int(label[i])), root(int(label[j]))
+            if a != b:
+                up[a] = b
+                out.append((i, j))
     return out
 
 
@@ -173,16 +187,16 @@ def _branch(members: DataFrame, levels: int) -> DataFrame:
 
 def _random_parts(sized: DataFrame) -> DataFrame:
     """Large nodes dealt into random nodes of bounded size."""
-    share = F.ceil(F.greatest(F.col("sets") / NODE_SETS, F.col("shingles") / NODE_SHINGLES))
-    return sized.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("tree", "cls"), share)))
+    return sized.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("tree", "cls"), F.ceil(F.col("pieces") / 2))))
 
 
-def _minor(members: DataFrame) -> DataFrame:
-    """Per node with two components: its main one, into how many pieces its sets are dealt, and into how many those outside the main one."""
+def _nodes(members: DataFrame) -> DataFrame:
+    """Nodes that hold two components: the main one, into how many pieces the sets are dealt, and those outside the main one (1 and 1 if small)."""
     each = members.groupBy("tree", "node", "component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     top = F.max(F.struct("sets", "shingles", "component"))
     nodes = each.groupBy("tree", "node").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles"), top.alias("top"), F.count(F.lit(1)).alias("c"))
-    pieces = lambda sets, shingles: F.ceil(F.greatest(2 * sets / NODE_SETS, 2 * shingles / NODE_SHINGLES)).cast("long")
+    small = (F.col("sets") == 2) | (F.col("sets") <= NODE_SETS) & (F.col("shingles") <= NODE_SHINGLES)
+    pieces = lambda sets, shingles: F.when(small, F.lit(1)).otherwise(F.ceil(F.greatest(2 * sets / NODE_SETS, 2 * shingles / NODE_SHINGLES))).cast("long")
     return nodes.where("c > 1").select(
         "tree", "node", F.col("top.component").alias("main"), pieces(F.col("sets"), F.col("shingles")).alias("pieces"),
         pieces(F.col("sets") - F.col("top.sets"), F.col("shingles") - F.col("top.shingles")).alias("others"),
@@ -199,32 +213,33 @@ def _crossed(members: DataFrame) -> DataFrame:
 
 
 def _compare(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that a link ties."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node in runs(parts, ["tree", "node"]):
-            ids = node["cls"].to_numpy()
-            if len(ids) > 1:
-                links = link_sets([np.frombuffer(t.as_py(), U) for t in node["tokens"]], percent)
+            labels = node["component"].to_numpy()
+            if (labels != labels[0]).any():
+                links = link_sets([np.frombuffer(t.as_py(), U) for t in node["tokens"]], percent, labels)
                 if links:
                     a, b = np.array(links).T
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(labels[a]), pa.array(labels[b])], ["a", "b"])
             if node.nbytes > 1 << 22:
                 del node
                 trim()
 
-    dealt = members.select("tree", "node", "cls", "tokens").repartition("tree", "node").sortWithinPartitions("tree", "node")
+    dealt = members.select("tree", "node", "component", "tokens").repartition("tree", "node").sortWithinPartitions("tree", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _nodes(members: DataFrame) -> DataFrame:
-    """Nodes that hold two components, with their size in sets and shingles."""
-    found = members.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return found.where("lo <> hi").select("tree", "node", "sets", "shingles")
-
-
 def _merged(found: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Components of what was found and new links; what was found is a star for each component, so little is left to do."""
-    known = found.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
-    after = cut(connected_components(reduce(DataFrame.unionByName, links, known)))
+    """Components of what was found and new links between components: a graph of those that change only."""
+    new = reduce(DataFrame.unionByName, links)
+    if new.isEmpty():
+        return found
+    moved = cut(connected_components(new)).select(F.col("vertex").alias("was"), F.col("component").alias("now"))
+    old = found.join(moved, F.col("component") == F.col("was"), "left").select("vertex", F.coalesce("now", "component").alias("component"))
+    first = moved.join(found, F.col("was") == F.col("vertex"), "left_anti").select(F.col("was").alias("vertex"), F.col("now").alias("component"))
+    after = cut(old.unionByName(first))
     for table in (found, *links):
         drop_cut(table)
     return after
@@ -256,23 +271,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for begin, end in ROUNDS:
         now = _labelled(members.where(F.col("tree").between(begin, end - 1)), found)
         now = cut(now.join(_nodes(now).select("tree", "node"), ["tree", "node"]).join(sets, "cls"))
-        depth, done = DEPTH, []
+        depth, done, parted = DEPTH, [], False
         while True:
-            sized = now.join(_nodes(now), ["tree", "node"])
-            small = (F.col("sets") == 2) | (F.col("sets") <= NODE_SETS) & (F.col("shingles") <= NODE_SHINGLES)
-            large = sized.where(~small)
+            nodes = cut(_nodes(now))
+            ready = (F.col("others") <= 1) | F.lit(depth >= MAX_DEPTH)
+            done.append(cut(_compare(_crossed(now.join(nodes.where(ready), ["tree", "node"])), percent)))
+            large = nodes.where(~ready)
             if large.isEmpty():
-                done.append(cut(_compare(sized, percent)))
                 break
-            done.append(cut(_compare(sized.where(small), percent)))
-            found, done = _merged(found, [*done, cut(_compare(_random_parts(large), percent))]), []
-            large = cut(_labelled(large.drop("sets", "shingles"), found))
-            drop_cut(now)
-            nodes = cut(_minor(large).withColumn("last", (F.col("others") <= 1) | F.lit(depth >= MAX_DEPTH)))
-            done.append(cut(_compare(_crossed(large.join(nodes.where("last"), ["tree", "node"])), percent)))
-            now = cut(_branch(large.join(nodes.where("not last").select("tree", "node"), ["tree", "node"]).select(*large.columns), 2))
-            drop_cut(large)
-            depth += 2
+            before, rest = now, now.join(large, ["tree", "node"])
+            if parted:
+                now = cut(_branch(rest.select(*now.columns), 2))
+                depth += 2
+            else:
+                found, done, parted = _merged(found, [*done, cut(_compare(_random_parts(rest), percent))]), [], True
+                now = cut(_labelled(rest.select(*now.columns), found).select(*now.columns))
+            drop_cut(before)
         found = _merged(found, done)
         drop_cut(now)
     named = classes.join(found, F.col("cls") == F.col("vertex")).groupBy("component").agg(F.min("rep").alias("least"))
