@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphwalk.catalog import analytics, automata, models, searches, text
+from glyphwalk.catalog import analytics, automata, models, searches, sources, text
 
-MODULES = (text, models, automata, searches, analytics)
+MODULES = (text, models, automata, searches, analytics, sources)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

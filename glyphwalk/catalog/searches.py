@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from contextvars import ContextVar
 from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -198,6 +200,44 @@ def search_canonical(spark, sf):
     return found.select("text", F.round("cost", 5).alias("cost"))
 
 
+@query(f"""WITH RECURSIVE {PIECE_SQL}, r(text, rest, cost) AS (SELECT 'the' || t, t, 0.0::DOUBLE FROM (VALUES ('re'), ('n'), ('se'), ('in')) v(t) UNION ALL
+  SELECT text, substr(rest, length(piece) + 1), round(cost - ln(p), 9) FROM r JOIN vocab ON starts_with(rest, piece))
+  SELECT text, round(cost, 5) AS cost FROM r WHERE rest = ''""")
+def search_prefix_canonical(spark, sf):
+    """The prefix is written as the tokenizer writes it, and nothing else may stand there; what follows in every way."""
+    asked = PatternQuery(Text("the(re|n|se|in)", prefix="the"), tokens=Tokens.PREFIX_CANONICAL)
+    found = replace(prepare(piece_model(spark, sf)), in_process=_IN_PROCESS.get()).search(asked)
+    return found.select("text", F.round("cost", 5).alias("cost"))
+
+
+#: A byte-level BPE vocabulary file: base64 pieces and ranks.
+BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@lru_cache(maxsize=2)
+def bpe_vocabulary(path: str = BPE) -> Vocabulary:
+    found = Vocabulary.from_tiktoken(path)
+    return Vocabulary(found.ids, None, max(found.pieces) + 1, found.ranks)
+
+
+def bpe_model(docs, path: str = BPE) -> LanguageModel:
+    """Tokens of a byte-level BPE vocabulary by how often they stand in texts, whatever came before."""
+    tokens = F.pandas_udf(lambda texts: texts.map(lambda t: list(bpe_vocabulary(path).canonical(t) or ())), "array<int>")
+    counted = docs.where("text is not null").select(F.explode(tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(F.array().cast("array<int>").alias("context"), "token", "n")
+    vocabulary = bpe_vocabulary(path)
+    return LanguageModel.from_counts(counted, 0, eos=vocabulary.eos, vocabulary=vocabulary)
+
+
+def search_bpe(spark, sf):
+    """Every way to write some strings in the tokens of a byte-level BPE vocabulary, likeliest first. Checked against brute force in the tests."""
+    found = prepare(bpe_model(read(spark, sf, "documents"))).search(PatternQuery(Text(" (the|then|thing|nation|é)"), limit=25))
+    return answers(found)
+
+
+if os.path.exists(BPE):
+    query()(search_bpe)
+
+
 def _on_tables(name: str) -> None:
     """Registers a search once more, on frontier tables whatever its size."""
     run, sql = QUERIES[name]
@@ -213,5 +253,5 @@ def _on_tables(name: str) -> None:
     query(sql)(search)
 
 
-for _name in ("search_shortest_path", "search_topk", "search_prefix_penalized", "search_eos", "search_max_len", "search_max_cost", "search_many_queries", "search_enumerate_bfs", "search_beam", "search_random_walk"):
+for _name in ("search_shortest_path", "search_topk", "search_prefix_penalized", "search_eos", "search_max_len", "search_max_cost", "search_many_queries", "search_enumerate_bfs", "search_beam", "search_random_walk", "search_prefix_canonical"):
     _on_tables(_name)

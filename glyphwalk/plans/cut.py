@@ -65,16 +65,22 @@ def _at_exit() -> None:
             release(spark)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; ``release`` removes what is there."""
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    for paths in _COLLECTING:
+        paths.append(path)
+    _MADE.add(path)
+    return path
+
+
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder; returns a scan of what was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    for paths in _COLLECTING:
-        paths.append(path)
-    _MADE.add(path)
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path

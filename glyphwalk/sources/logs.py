@@ -21,7 +21,7 @@ def write_results(results: DataFrame, path: str, text: str = "text", time: str =
     rows = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(text).alias("u"), F.col(tokens).alias("k"))))
     grouped = results.groupBy(*([part] if part else [])).agg(rows.alias("r"))
     pick = lambda name: F.transform("r", lambda x: x[name])
-    grouped.select(pick("u").alias("urls"), pick("t").alias("times"), pick("k").alias("tokens")).write.json(path)
+    grouped.select(pick("u").alias("urls"), pick("t").alias("times"), pick("k").alias("tokens")).write.option("maxRecordsPerFile", 1).json(path)  # an object a file: they may span lines
 
 
 def read_attempts(spark: SparkSession, path: str, first_key: str) -> DataFrame:

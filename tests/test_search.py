@@ -1,11 +1,12 @@
 import math
+import os
 import random
 
 import pytest
-
-from glyphwalk import engine
 from pyspark.sql import functions as F
 
+from glyphwalk import engine
+from glyphwalk.catalog import searches
 from glyphwalk.operators.language_model import BOS, EOS, LanguageModel, character_pairs, ngram_counts
 from glyphwalk.operators.search import compile_query
 from glyphwalk.operators.vocabulary import Vocabulary, lift_edges, to_bytes, tokenizations
@@ -230,3 +231,21 @@ def test_character_pairs_by_words(spark):
     plain = lambda df: sorted((r["context"][0], r["token"], r["n"]) for r in df.collect())
     for eos in (None, EOS):
         assert plain(character_pairs(docs, "text", eos=eos)) == plain(ngram_counts(tokens, eos=eos))
+
+
+@pytest.mark.skipif(not os.path.exists(searches.BPE), reason="no vocabulary file here")
+def test_byte_level_bpe(spark):
+    vocabulary, texts = searches.bpe_vocabulary(), [" the", " then", " thing", " nation", " é"]
+    learned = {r["token"]: r["p"] for r in searches.bpe_model(spark.createDataFrame([(" the thing the",), (None,)], "text string")).rows.collect()}
+    assert {vocabulary.decode([t]): round(p, 9) for t, p in learned.items()} == {" the": round(2 / 3, 9), " thing": round(1 / 3, 9)}
+    ways = {x: list(map(tuple, vocabulary.encodings(x))) for x in texts}
+    r = random.Random(5)
+    weight = {t: r.random() for t in sorted({t for es in ways.values() for e in es for t in e}) if r.random() < 0.8}
+    p = {t: w / sum(weight.values()) for t, w in weight.items()}
+    model = LanguageModel.of_rows(spark, [([], t, q) for t, q in p.items()], 0, eos=vocabulary.eos, vocabulary=vocabulary)
+    want = sorted((round(sum(-math.log(p[t]) for t in e), 6), e) for es in ways.values() for e in es if all(t in p for t in e))
+    assert len(want) > 20
+    for in_process in (True, False):
+        found = engine.Engine(model.settled(), in_process).search(PatternQuery(Text(" (the|then|thing|nation|é)"), limit=1000))
+        assert sorted((round(r["cost"], 6), tuple(r["tokens"])) for r in found.collect()) == want
+        assert {r["text"] for r in found.collect()} <= set(texts)
