@@ -5,8 +5,8 @@ hashes, its anchor; equal windows have equal anchors at the same offset, so only
 anchors have equal grams can be equal. One anchor owns about 80 windows in a row; the bytes under
 them are its context.
 
-1. Texts are packed into blocks, written once. Blocks list (gram, context) of their anchors, contexts
-   by a polynomial hash and a cryptographic one of their bytes, 128 bits together.
+1. Texts are packed into blocks, written once. Blocks list (gram, context) of their anchors: the gram by
+   a polynomial hash, the context by a cryptographic one of its bytes, 128 bits together.
 2. A context that occurs twice is repeated as a whole; copies need no sort. A gram with one context is
    not repeated. Of grams with several contexts, one of them single, one copy of each context is sent.
 3. Per gram, suffixes are sorted by a mergesort that compares them by their longest common
@@ -38,16 +38,16 @@ from pyspark.sql import functions as F
 
 from glyphwalk.llm._blocks import trim
 from glyphwalk.llm._runs import runs
-from glyphwalk.llm._text import U, batches, join_texts, mix, prefix_hashes, range_hashes, sliding_least
+from glyphwalk.llm._text import U, batches, join_texts, prefix_hashes, range_hashes, sliding_least
 from glyphwalk.plans.cut import cut
 
-WINDOW, GRAM, GROUP, BLOCK = 200, 40, 1024, 16 << 20
+WINDOW, GRAM, GROUP, BLOCK = 200, 40, 4096, 16 << 20
 
 
 SALTS = [i.to_bytes(2, "little") for i in range(WINDOW)]
 
 
-def checks_of(raw: bytes, first: np.ndarray, last: np.ndarray, lead: np.ndarray) -> np.ndarray:
+def contexts_of(raw: bytes, first: np.ndarray, last: np.ndarray, lead: np.ndarray) -> np.ndarray:
     """Cryptographic hashes of contexts: their bytes and the anchor's place in them."""
     new = hashlib.blake2b
     found = [new(raw[a : b + WINDOW], digest_size=8, salt=SALTS[x]).digest() for a, b, x in zip(first.tolist(), last.tolist(), lead.tolist(), strict=True)]
@@ -55,11 +55,11 @@ def checks_of(raw: bytes, first: np.ndarray, last: np.ndarray, lead: np.ndarray)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """(anchor, first window, last window, gram hash, context hash, prefix hashes) of a batch of texts."""
+    """(anchor, first window, last window, gram hash) of a batch of texts."""
     prefix = prefix_hashes(data)
     none = np.zeros(0, np.int64)
     if len(data) < window:
-        return none, none, none, none.view(U), none.view(U), prefix
+        return none, none, none, none.view(U)
     starts = np.arange(len(data) - gram + 1)
     bits = U(max(1, int(len(data)).bit_length()))
     keyed = (range_hashes(prefix, starts, starts + gram) >> bits << bits) | starts.astype(U)
@@ -71,13 +71,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
     np.add.at(inside, offsets[1:][fits] - window, -1)
     at = np.flatnonzero(np.cumsum(inside[:-1])[: len(owner)])
     if not len(at):
-        return none, none, none, none.view(U), none.view(U), prefix
+        return none, none, none, none.view(U)
     own = owner[at]
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
     first, last, anchor = at[new], at[np.append(new[1:], len(at)) - 1], own[new]
-    grams = range_hashes(prefix, anchor, anchor + gram)
-    context = range_hashes(prefix, first, last + window)
-    return anchor, first, last, grams, mix(context * U(0x9E3779B97F4A7C15) + (anchor - first).astype(U) + grams), prefix
+    return anchor, first, last, range_hashes(prefix, anchor, anchor + gram)
 
 
 def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int | np.ndarray) -> np.ndarray:
@@ -218,21 +216,21 @@ def _scan(texts: list):
 
 
 def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    names = ["block", "kind", "gram", "context", "check", "n", "payload"]
+    names = ["block", "kind", "gram", "context", "n", "payload"]
 
     def block(ids: pa.Array, texts: list) -> Iterator[pa.RecordBatch]:
         name = uuid.uuid4().int >> 65
         none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int8()), none, none, none, none, pa.array([_pack(ids, texts)], pa.binary())], names)
-        found = [(g, c, checks_of(data.tobytes(), first, last, anchor - first)) for _, data, _, (anchor, first, last, g, c, _) in _scan(texts)]
-        grams, contexts, checks = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, U) for i in range(3))
-        order = np.lexsort((checks, contexts))
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(contexts[order]) != 0) | (np.diff(checks[order]) != 0)])) if len(order) else order
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([1], pa.int8()), none, none, none, pa.array([_pack(ids, texts)], pa.binary())], names)
+        found = [(g, contexts_of(data.tobytes(), first, last, anchor - first)) for _, data, _, (anchor, first, last, g) in _scan(texts)]
+        grams, contexts = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, U) for i in range(2))
+        order = np.lexsort((contexts, grams))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(contexts[order]) != 0) | (np.diff(grams[order]) != 0)])) if len(order) else order
         n, at = np.diff(np.append(new, len(order))), order[new]
         for b in range(0, len(at), 1 << 16):
             part = at[b : b + (1 << 16)]
             k = len(part)
-            columns = [x[part].view(np.int64) for x in (grams, contexts, checks)]
+            columns = [x[part].view(np.int64) for x in (grams, contexts)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, name)), pa.array(np.zeros(k, np.int8)), *map(pa.array, columns), pa.array(n[b : b + (1 << 16)]), pa.nulls(k, pa.binary())], names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,29 +248,32 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
         if texts:
             yield from block(pa.concat_arrays(ids), texts)
 
-    return docs.mapInArrow(run, "block long, kind byte, gram long, context long, check long, n long, payload binary")
+    return docs.mapInArrow(run, "block long, kind byte, gram long, context long, n long, payload binary")
 
 
 class _Wanted:
-    """Contexts by both hashes, as columns ``context`` and ``check`` of a table."""
+    """Contexts by the hash of their gram and their own, as columns ``gram`` and ``context`` of a table."""
 
     def __init__(self, table: pa.Table):
-        context, check = (table[c].to_numpy().view(U) for c in ("context", "check"))
-        self.by = np.lexsort((check, context))
-        self.context, self.check = context[self.by], check[self.by]
-
-    def find(self, raw: bytes, contexts: np.ndarray, first: np.ndarray, last: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of the contexts that are wanted, and where each is."""
-        if not len(self.context):
+        gram, context = (table[c].to_numpy().view(U) for c in ("gram", "context"))
+        self.by = np.lexsort((gram, context))
+        self.gram, self.context = gram[self.by], context[self.by]
+        self.grams = np.unique(gram)
+
+    def find(self, raw: bytes, grams: np.ndarray, first: np.ndarray, last: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the contexts that are wanted, and where each is. Contexts of other grams are not even hashed."""
+        if not len(self.grams):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.context, contexts), len(self.context) - 1)
-        hit = np.flatnonzero(self.context[at] == contexts)
-        at, check = at[hit], checks_of(raw, first[hit], last[hit], lead[hit])
-        while (bad := self.check[at] != check).any():  # contexts of one polynomial hash
-            after = np.minimum(at + 1, len(self.context) - 1)
-            keep = ~bad | ((after > at) & (self.context[after] == self.context[at]))
+        hit = np.flatnonzero(self.grams[np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)] == grams)
+        context, gram = contexts_of(raw, first[hit], last[hit], lead[hit]), grams[hit]
+        at, end = np.searchsorted(self.context, context), len(self.context) - 1
+        live = self.context[np.minimum(at, end)] == context
+        hit, at, context, gram = hit[live], at[live], context[live], gram[live]
+        while (bad := self.gram[at] != gram).any():  # contexts of one hash and different grams
+            after = np.minimum(at + 1, end)
+            keep = ~bad | ((after > at) & (self.context[after] == context))
             at = np.where(bad, after, at)[keep]
-            hit, check = hit[keep], check[keep]
+            hit, context, gram = hit[keep], context[keep], gram[keep]
         return hit, at
 
 
@@ -283,24 +284,24 @@ def _send(payload: pa.Table, asked: pa.Table) -> pa.Table:
     hot = asked["hot"].to_numpy(zero_copy_only=False)[wanted.by]
     open_ = np.ones(len(hot), bool)
     out: list[pa.Table] = []
-    schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("check", pa.int64()), ("lead", pa.int32()), ("hot", pa.bool_()), ("bytes", pa.binary())])
+    schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("lead", pa.int32()), ("hot", pa.bool_()), ("bytes", pa.binary())])
 
-    def add(i: np.ndarray, at: np.ndarray, grams: np.ndarray, lead: np.ndarray, raw: list[bytes]) -> None:
-        kinds = [grams[i].view(np.int64), wanted.context[at].view(np.int64), wanted.check[at].view(np.int64), lead.astype(np.int32), hot[at]]
+    def add(at: np.ndarray, lead: np.ndarray, raw: list[bytes]) -> None:
+        kinds = [wanted.gram[at].view(np.int64), wanted.context[at].view(np.int64), lead.astype(np.int32), hot[at]]
         out.append(pa.table([*map(pa.array, kinds), pa.array(raw, pa.binary())], schema=schema))
 
-    for _, data, _, (anchor, first, last, grams, contexts, _) in _scan(texts) if len(hot) else ():
+    for _, data, _, (anchor, first, last, grams) in _scan(texts) if len(hot) else ():
         raw = data.tobytes()
-        pick, at = wanted.find(raw, contexts, first, last, anchor - first)
+        pick, at = wanted.find(raw, grams, first, last, anchor - first)
         new = np.unique(at, return_index=True)[1]
         pick, at = pick[new][open_[at[new]]], at[new][open_[at[new]]]
         open_[at] = False
         cold, warm = pick[~hot[at]], pick[hot[at]]
         if len(cold):
-            add(cold, at[~hot[at]], grams, (anchor - first)[cold], [raw[a : b + WINDOW] for a, b in zip(first[cold], last[cold], strict=True)])
+            add(at[~hot[at]], (anchor - first)[cold], [raw[a : b + WINDOW] for a, b in zip(first[cold], last[cold], strict=True)])
         for i, where in zip(warm, at[hot[at]], strict=True):
             p = np.arange(first[i], last[i] + 1)
-            add(np.full(len(p), i), np.full(len(p), where), grams, anchor[i] - p, [raw[x : x + WINDOW] for x in p.tolist()])
+            add(np.full(len(p), where), anchor[i] - p, [raw[x : x + WINDOW] for x in p.tolist()])
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
@@ -310,8 +311,8 @@ def _sorted_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(held: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(held).combine_chunks()
         which, lead = repeated_windows(table["bytes"].to_pylist(), table["lead"].to_numpy(), table["gram"].to_numpy())
-        keys = [table[c].combine_chunks().take(pa.array(which)) for c in ("context", "check")]
-        return pa.RecordBatch.from_arrays([*keys, pa.array(lead.astype(np.int32))], ["context", "check", "lead"])
+        keys = [table[c].combine_chunks().take(pa.array(which)) for c in ("gram", "context")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(lead.astype(np.int32))], ["gram", "context", "lead"])
 
     held, total = [], 0
     for group in runs(parts, ["gram"]):
@@ -332,20 +333,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     blocks = cut(_blocks(docs.select(F.col(id_col), F.col(text_col)), block_bytes))
     payload = blocks.where("kind = 1").select(F.col("block").alias("home"), "payload")
-    key = ["context", "check"]
-    seen = blocks.where("kind = 0").select("block", "gram", *key, "n")
-    each = seen.groupBy("gram", *key).agg(F.sum("n").alias("n"), F.min("block").alias("first"))
+    key = ["gram", "context"]
+    seen = blocks.where("kind = 0").select("block", *key, "n")
+    each = seen.groupBy(*key).agg(F.sum("n").alias("n"), F.min("block").alias("first"))
     grams = each.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("n") == 1, 1)).alias("singles"))
     open_ = cut(
         each.join(grams.where("total > 1"), "gram")
-        .select("gram", *key, (F.col("n") > 1).alias("full"), "first", F.expr("kinds > 1 and singles > 0").alias("mixed"), (F.col("kinds") > GROUP).alias("hot"))
+        .select(*key, (F.col("n") > 1).alias("full"), "first", F.expr("kinds > 1 and singles > 0").alias("mixed"), (F.col("kinds") > GROUP).alias("hot"))
     )
     asked = open_.where("mixed").select(F.col("first").alias("block"), *key, "hot")
     sent = cut(
         payload.groupBy("home").cogroup(asked.groupBy("block"))
-        .applyInArrow(_send, "gram long, context long, check long, lead int, hot boolean, bytes binary")
+        .applyInArrow(_send, "gram long, context long, lead int, hot boolean, bytes binary")
     )
-    cold = sent.where("not hot").select("gram", *key, "lead", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, "context long, check long, lead int")
+    cold = sent.where("not hot").select(*key, "lead", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, "gram long, context long, lead int")
     spread = sent.where("hot").select(*key, "lead", "bytes")
     twice = spread.groupBy("lead", "bytes").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     partly = cold.unionByName(spread.join(twice, ["lead", "bytes"]).select(*key, "lead"))
@@ -361,9 +362,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         told = answers["leads"].take(pa.array(wanted.by)).combine_chunks() if len(wanted.by) else None
         full = ~np.array(told.is_valid()) if told is not None else np.zeros(0, bool)
         n_bytes, removed, spans, digest, kept = [], [], [], [], []
-        for _, data, offsets, (anchor, first, last, _, contexts, _) in _scan(texts):
+        for _, data, offsets, (anchor, first, last, grams) in _scan(texts):
             edge = np.zeros(len(data) + 1, np.int64)
-            hit, at = wanted.find(data.tobytes(), contexts, first, last, anchor - first)
+            hit, at = wanted.find(data.tobytes(), grams, first, last, anchor - first)
             part, part_at, whole = hit[~full[at]], at[~full[at]], hit[full[at]]
             np.add.at(edge, first[whole], 1)
             np.add.at(edge, last[whole] + WINDOW, -1)

@@ -118,12 +118,17 @@ def test_windows_of_a_group_equal_brute_force(hashed, seed):
     assert sorted(zip(which.tolist(), lead.tolist(), strict=True)) == sorted((i, x) for i, x in every if seen[at(i, x)] > 1)
 
 
-def test_contexts_of_one_polynomial_hash():
+def test_contexts_of_one_gram_or_one_hash(monkeypatch):
     raw = np.random.default_rng(3).integers(97, 120, 3000).astype(np.uint8).tobytes()
-    first = np.array([0, 500, 1000])
-    last, lead = first + 30, np.array([5, 6, 7])
-    check = sd.checks_of(raw, first, last, lead)
-    same = np.full(3, 9, np.uint64)
-    wanted = sd._Wanted(pa.table({"context": same[:2].view(np.int64), "check": check[[2, 0]].view(np.int64)}))
-    hit, at = wanted.find(raw, same, first, last, lead)
-    assert hit.tolist() == [0, 2] and [wanted.check[i] for i in at] == [check[0], check[2]]
+    first = np.array([0, 500, 1000, 1500])
+    last, lead = first + 30, np.array([5, 6, 7, 8])
+    found = sd.contexts_of(raw, first, last, lead)
+    grams = np.array([9, 9, 9, 4], np.uint64)
+    table = lambda g, c: pa.table({"gram": np.array(g, np.uint64).view(np.int64), "context": np.array(c, np.uint64).view(np.int64)})
+    wanted = sd._Wanted(table([9, 9, 5], found[[2, 0, 3]]))
+    hit, at = wanted.find(raw, grams, first, last, lead)
+    assert hit.tolist() == [0, 2] and wanted.context[at].tolist() == found[[0, 2]].tolist()
+    monkeypatch.setattr(sd, "contexts_of", lambda raw, first, last, lead: np.full(len(first), 77, np.uint64))
+    wanted = sd._Wanted(table([4, 6, 9], [77, 77, 77]))
+    hit, at = wanted.find(raw, grams, first, last, lead)
+    assert hit.tolist() == [0, 1, 2, 3] and wanted.gram[at].tolist() == grams.tolist()
