@@ -49,9 +49,13 @@ class Plan:
     max_len: int
 
     def stats(self) -> dict:
-        """What is known before the search."""
+        """What is known before the search, with ten random answers of the pattern alone and the bytes that all of its tokens take at most."""
         a = self.automaton
-        return {"states": len(a.arcs), "arcs": sum(map(len, a.arcs)), "cyclic": a.is_cyclic, "cardinality": a.cardinality(), "sample": list(a.strings(10, self.max_len))}
+        n = a.cardinality()
+        return {
+            "states": len(a.arcs), "arcs": sum(map(len, a.arcs)), "cyclic": a.is_cyclic, "cardinality": n,
+            "sample": list(a.random_strings(10, self.options.seed, self.max_len)), "bytes": None if n is None else 4 * n * self.max_len,
+        }
 
 
 def _characters(o: SearchOptions, pattern: str | None, given: Automaton | None) -> Automaton:

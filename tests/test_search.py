@@ -249,3 +249,12 @@ def test_byte_level_bpe(spark):
         found = engine.Engine(model.settled(), in_process).search(PatternQuery(Text(" (the|then|thing|nation|é)"), limit=1000))
         assert sorted((round(r["cost"], 6), tuple(r["tokens"])) for r in found.collect()) == want
         assert {r["text"] for r in found.collect()} <= set(texts)
+
+
+def test_what_is_known_before_a_search():
+    plan = compile_query(PatternQuery(Text("t(h|he)?e?")), THE)
+    known = plan.stats()
+    assert known["cardinality"] == plan.automaton.cardinality() and known["bytes"] == 4 * known["cardinality"] * plan.max_len
+    assert len(known["sample"]) == 10 and set(known["sample"]) <= set(plan.automaton.strings())
+    with pytest.warns(UserWarning, match="infinite"):
+        assert compile_query(PatternQuery(Text("t+")), THE).stats()["bytes"] is None
