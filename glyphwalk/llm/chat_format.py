@@ -12,7 +12,9 @@ two-level prefix sums over ranges of ``PART`` turn numbers, and rendering gives
 
 Turns are ordered by number (null last), role and text; repeated rows of a conversation count
 once. Null roles and texts differ from empty ones and render as empty. Null ids form one
-conversation. An empty table gives an empty result; other columns are not read.
+conversation. "<|" in a role or text is rendered as "< |", so that no text can write the template's
+marks. Texts of any length are rendered whole. An empty table gives an empty result; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,7 +72,8 @@ def collapse(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     gone = collapsed.select(F.col("conv").alias("__gone"))
     kept = prefixes.join(gone, F.col("conv").eqNullSafe(F.col("__gone")), "left_anti")
     opening, middle, closing = (F.lit(x) for x in template)
-    piece = F.concat(opening, F.coalesce("role", F.lit("")), middle, F.coalesce("text", F.lit("")), closing)
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |"))
+    piece = F.concat(opening, plain(F.col("role")), middle, plain(F.col("text")), closing)
     rendered = kept.groupBy("conv", "part", "n").agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("turns"))
     return rendered.select(
         F.col("conv").alias("conv_id"), "part", F.col("n").alias("n_turns"), F.lit(True).alias("kept"), F.col("conv").alias("kept_id"),

@@ -85,7 +85,7 @@ WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos FROM t),
 c AS (SELECT conv_id, count(*)::BIGINT AS n, list({'r': role, 't': text} ORDER BY pos) AS l FROM q GROUP BY conv_id),
 p AS (SELECT conv_id, pos // 256 AS part,
-             string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS s
+             string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS s
       FROM q GROUP BY conv_id, pos // 256),
 h AS (SELECT a.conv_id, a.n, b.conv_id AS kept_id, row_number() OVER (PARTITION BY a.conv_id ORDER BY b.n DESC, b.conv_id NULLS FIRST) AS k
       FROM c a JOIN c b ON b.l[1] = a.l[1] AND b.n >= a.n AND list_slice(b.l, 1, a.n) = a.l)
