@@ -57,7 +57,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-OP2_SQL = r"""
+def _like(column: str, glob: str) -> str:
+    plain = glob.replace("|", "||").replace("%", "|%").replace("_", "|_").replace("*", "%")
+    return f"{column} LIKE '{plain}' ESCAPE '|'"
+
+
+#: What no rule fits is judged by the first glob that fits host and path.
+_GLOBS = "\n            ".join(f"WHEN {_like('host', h)} AND {_like('path', p)} THEN '{v}'" for h, p, v in url_filter.GLOBS)
+OP2_SQL = rf"""
 WITH r AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE
                     regexp_replace(substr(url, strpos(url, '://') + 3), '(?s)[?#].*$', '') END AS rest FROM pages),
 p AS (SELECT page_id,
@@ -71,7 +78,8 @@ j AS (SELECT page_id, host, path, '.' || host AS h,
                   WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN host LIKE '%casino%' OR path LIKE '/%.exe' OR path LIKE '/%.zip' THEN 'block' ELSE 'allow' END AS verdict
+            {_GLOBS}
+            ELSE 'allow' END AS verdict
 FROM j
 """
 

@@ -30,8 +30,13 @@ U = np.uint64
 SEPARATOR = 0xFF
 #: (host and path, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Globs over the canonical URL (host, path) that judge what no rule fits.
-GLOBS = (("*casino*", "*", "block"), ("*", "/*.exe", "block"), ("*", "/*.zip", "block"))
+#: Globs over the canonical URL (host, path) that judge what no rule fits: words in hosts, kinds of hosts, files that are no pages, paths of machinery.
+GLOBS = (
+    *((f"*{word}*", "*", "block") for word in ("casino", "poker", "gambling", "lottery", "escort", "warez", "torrent", "payday", "viagra")),
+    *((f"{kind}.*", "*", "block") for kind in ("ads", "ad", "adserver", "banner", "tracker", "click")),
+    *(("*", f"/*.{end}", "block") for end in ("exe", "zip", "msi", "dmg", "iso", "apk", "rar", "gz", "7z", "bin", "dll", "mp4", "avi", "mp3")),
+    *(("*", f"/{path}", "block") for path in ("*/wp-admin/*", "*/wp-login*", "cgi-bin/*", "*/login", "*/logout", "*/signup", "*/cart/*", "*/checkout/*", "*/print/*")),
+)
 
 
 def host_path(url: str | None) -> tuple[str, str]:

@@ -38,7 +38,7 @@ CONVERSATIONS = [
 ]
 URLS = [
     None, "", "no scheme", "http://", "http://A.Net/x", "https://net/", "https://net", "x://a.example.net/en/1?q=/fr/", "x://example.net/EN/1", "x://b.example.com/de/#z", "x://example.com/de", "x://a.org/fr/",
-    "x://borg/fr/", "x://org.fr/", "x://h/p.exe", "x://h/p.exe?x", "x://my.casino-x.com", "y://a://b.net/", "x://é.net/ü", "x://a.net?b/c", "x://" + "a" * 9000 + ".net/" + "b" * 9000, "x://example.net#/en/", "x://h.zip/",
+    "x://borg/fr/", "x://org.fr/", "x://h/p.exe", "x://h/p.exe?x", "x://my.casino-x.com", "y://a://b.net/", "x://é.net/ü", "x://a.net?b/c", "x://" + "a" * 9000 + ".net/" + "b" * 9000, "x://example.net#/en/", "x://h.zip/", "x://ads.h.com/x", "x://xads.h.com", "x://AD.h/", "x://h/a/wp-admin/b", "x://h/wp-admin/b", "x://h/cgi-bin/", "x://h/xcgi-bin/a", "x://h/a/login", "x://h/a/login/b", "x://h/a.7z", "x://h/a%b_c.iso",
 ]
 
 
