@@ -97,7 +97,8 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         sized = lambda c, step: F.transform(shingles_of(words, c, step), lambda s: F.struct(F.lit(c).alias("k"), s["pos"].alias("pos"), s["h"].alias("h")))
         return F.explode(F.concat(*[sized(c, step) for c, step in steps]))
 
-    here = texts.select("doc_id", F.xxhash64("text").alias("version"), every(words_of(F.col("text")), sizes).alias("s"))
+    tokens = texts.select("doc_id", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("words"))  # split once, not for each shingle
+    here = tokens.select("doc_id", "version", every(F.col("words"), sizes).alias("s"))
     keys = near(spread.select("k", "h").distinct())
     found = cut(here.select("doc_id", "version", F.col("s.k").alias("k"), F.col("s.h").alias("h")).join(keys, ["k", "h"], "left_semi").select("doc_id", "version").distinct())
     suspects = texts.withColumn("version", F.xxhash64("text")).join(found, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
