@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphwalk.catalog._registry import read, registry
 from glyphwalk.operators import analytics as an
-from glyphwalk.operators.language_model import EOS, LanguageModel, ngram_counts
+from glyphwalk.operators.language_model import EOS, LanguageModel
 from glyphwalk.operators.vocabulary import characters_of
 
 QUERIES, query = registry()
@@ -58,8 +58,7 @@ def lm_token_rank(spark, sf):
 @query(f"""WITH {CHARS}, u AS (SELECT sum(n) AS n, t FROM cnt GROUP BY t), g AS (SELECT c, u.t, u.n FROM (SELECT DISTINCT c FROM cnt), u)
   SELECT g.c, g.t, round(0.9 * coalesce(lm.p, 0) + 0.1 * g.n::DOUBLE / (SELECT sum(n) FROM cnt), 6) AS p FROM g LEFT JOIN lm USING (c, t)""")
 def lm_interpolated(spark, sf):
-    docs = read(spark, sf, "documents").select(F.transform(characters_of(F.col("text")), lambda c: F.ascii(c)).alias("tokens"))
-    model = LanguageModel.from_counts(ngram_counts(docs, eos=EOS), 1, mix=0.9)
+    model = LanguageModel.of_characters(read(spark, sf, "documents").select("text"), eos=EOS, mix=0.9)
     return flat(model).select("c", "t", "p")
 
 

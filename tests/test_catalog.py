@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from glyphwalk import catalog
+from glyphwalk.operators import language_model
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,3 +46,11 @@ def test_query_agrees_with_its_sql(spark, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["query_id", "rank", "text", "cost"]
+
+
+def test_interpolated_model_is_learned_from_distinct_words(spark, monkeypatch):
+    """Not from a row per character, and once: the counts are read from a cut."""
+    made = []
+    monkeypatch.setattr(language_model, "cut", lambda df: made.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    catalog.queries()["lm_interpolated"](spark, DATA)
+    assert len(made) == 1 and "posexplode(" in made[0]
