@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphwalk.catalog._registry import read, registry
-from glyphwalk.operators import analytics as an
 from glyphwalk.operators.language_model import EOS, LanguageModel
 from glyphwalk.operators.vocabulary import characters_of
 
@@ -69,10 +68,18 @@ def _words(spark, sf):
     return read(spark, sf, "documents").where("text is not null").select(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w"))
 
 
-def word_pairs(spark, sf):
-    """(w1, w2, n)"""
+#: Asked words are broadcast up to this number; beyond, all pairs are counted.
+ASKED = 200_000
+
+
+def word_pairs(spark, sf, asked=None):
+    """(w1, w2, n), or only those of the words ``asked`` (w1). Pairs are counted as one string each: that is the smaller key."""
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
-    return _words(spark, sf).where(F.size("w") > 1).select(F.inline(pairs)).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    spread = _words(spark, sf).where(F.size("w") > 1).select(F.inline(pairs))
+    if asked is not None and asked.count() <= ASKED:
+        spread = spread.join(F.broadcast(asked), "w1", "left_semi")
+    counted = spread.groupBy(F.concat_ws(" ", "w1", "w2").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.substring_index("pair", " ", 1).alias("w1"), F.substring_index("pair", " ", -1).alias("w2"), "n")
 
 
 PAIRS = f"(SELECT w1, w2, count(*) AS n FROM (SELECT unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM {WORDS} WHERE len(w) > 1) GROUP BY w1, w2)"
@@ -126,11 +133,12 @@ def conditional_suffix_prob(spark, sf):
   c AS (SELECT role, w[-2] AS w1, w[-1] AS y FROM (SELECT role, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS w FROM conversations) WHERE len(w) > 1)
   SELECT role, round(avg((y = coalesce(w2, ''))::INT), 6) AS accuracy, count(*) AS n FROM c LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (w1) GROUP BY role""")
 def last_word_accuracy(spark, sf):
-    best = word_pairs(spark, sf).groupBy("w1").agg(F.min(F.struct((-F.col("n")).alias("m"), "w2")).alias("b")).select("w1", F.col("b.w2").alias("guess"))
     turns = read(spark, sf, "conversations").select("role", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("w")).where(F.size("w") > 1)
-    asked = turns.select("role", F.element_at("w", -2).alias("w1"), F.element_at("w", -1).alias("y"))
-    found = an.accuracy(asked.join(best, "w1", "left").fillna("", ["guess"]), "y", "guess", ["role"])
-    return found.withColumn("accuracy", F.round("accuracy", 6))
+    asked = turns.select("role", F.element_at("w", -2).alias("w1"), F.element_at("w", -1).alias("y")).groupBy("role", "w1", "y").agg(F.count(F.lit(1)).alias("m"))
+    best = word_pairs(spark, sf, asked.select("w1").distinct()).groupBy("w1").agg(F.min(F.struct((-F.col("n")).alias("m"), "w2")).alias("b")).select("w1", F.col("b.w2").alias("guess"))
+    right = F.when(F.col("y") == F.coalesce("guess", F.lit("")), F.col("m")).otherwise(0)
+    found = asked.join(best, "w1", "left").groupBy("role").agg((F.sum(right) / F.sum("m")).alias("accuracy"), F.sum("m").alias("n"))
+    return found.select("role", F.round("accuracy", 6).alias("accuracy"), "n")
 
 
 @query()

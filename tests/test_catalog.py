@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from glyphwalk import catalog
+from glyphwalk.catalog import models
 from glyphwalk.operators import language_model
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -54,3 +55,12 @@ def test_interpolated_model_is_learned_from_distinct_words(spark, monkeypatch):
     monkeypatch.setattr(language_model, "cut", lambda df: made.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     catalog.queries()["lm_interpolated"](spark, DATA)
     assert len(made) == 1 and "posexplode(" in made[0]
+
+
+def test_only_pairs_of_asked_words_are_counted(spark, monkeypatch):
+    """They are fewer; the answer is that of all pairs."""
+    ask = catalog.queries()["last_word_accuracy"]
+    few = ask(spark, DATA)
+    assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(models, "ASKED", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, ask(spark, DATA).collect()))
