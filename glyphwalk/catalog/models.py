@@ -93,10 +93,14 @@ def word_bigram_lm(spark, sf):
 @query(f"""SELECT w1, w2, w3, n FROM (SELECT w1, w2, w3, n, row_number() OVER (PARTITION BY w1, w2 ORDER BY n DESC, w3) AS k FROM (
   SELECT w1, w2, w3, count(*) AS n FROM (SELECT unnest(w[:-3]) AS w1, unnest(w[2:-2]) AS w2, unnest(w[3:]) AS w3 FROM {WORDS} WHERE len(w) > 2) GROUP BY ALL)) WHERE k = 1""")
 def word_trigram_best(spark, sf):
-    triples = F.arrays_zip(F.slice("w", 1, F.size("w") - 2).alias("w1"), F.slice("w", 2, F.size("w") - 2).alias("w2"), F.slice("w", 3, F.size("w") - 2).alias("w3"))
-    counted = _words(spark, sf).where(F.size("w") > 2).select(F.inline(triples)).toDF("w1", "w2", "w3").groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("w1", "w2").agg(F.min(F.struct((-F.col("n")).alias("m"), "w3")).alias("b"))
-    return best.select("w1", "w2", "b.w3", (-F.col("b.m")).alias("n"))
+    at = F.sequence(F.lit(1), F.size("w") - 2)
+    triples = F.transform(at, lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))  # one string: the smaller key
+    counted = _words(spark, sf).where(F.size("w") > 2).select(F.explode(triples).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    # Rows, not states of an aggregate, are sent: those are larger, and few meet before.
+    dealt = counted.repartition(F.substring_index("t", " ", 2))
+    rows = dealt.select(F.substring_index("t", " ", 2).alias("pair"), F.substring_index("t", " ", -1).alias("w3"), "n")
+    best = rows.groupBy("pair").agg(F.min(F.struct((-F.col("n")).alias("m"), "w3")).alias("b"))
+    return best.select(F.substring_index("pair", " ", 1).alias("w1"), F.substring_index("pair", " ", -1).alias("w2"), "b.w3", (-F.col("b.m")).alias("n"))
 
 
 def _items(spark, sf):

@@ -64,3 +64,9 @@ def test_only_pairs_of_asked_words_are_counted(spark, monkeypatch):
     assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(models, "ASKED", 0)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, ask(spark, DATA).collect()))
+
+
+def test_trigrams_are_counted_as_one_string_and_sent_whole(spark):
+    plan = catalog.queries()["word_trigram_best"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(keys) == 2 and not any("w1" in k for k in keys)
